@@ -22,10 +22,10 @@ from chronoframe.llm.common import bucket
 
 #: Bounds of the fitted model, which is broadcast: rows read per language (expected, chosen by a hash),
 #: languages, words and n-grams kept per language, n-gram lengths, and the characters of a sampled word.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 MAX_LANGUAGES = 256
-MAX_WORDS = 40_000
-MAX_GRAMS = 20_000
+MAX_WORDS = 20_000
+MAX_GRAMS = 10_000
 GRAMS = (5, 4, 3, 2, 1)
 MAX_WORD = 64
 STEP_DOWN = 0.5
@@ -156,7 +156,8 @@ def _largest(counts: DataFrame) -> list[tuple]:
     if least is None:
         return []
     kept = counts.where(F.col("c") >= F.try_element_at(least, F.concat(F.col("n").cast("string"), F.lit(":"), F.col("lang"))))
-    return [tuple(r) for r in kept.collect()]
+    found = kept.select("lang", "n", "item", "c").toArrow()
+    return list(zip(*(c.to_pylist() for c in found.columns)))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
