@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import bucket
+from chronoframe.llm.common import Scratch, bucket
 
 #: Bounds of the fitted model, which is broadcast: rows read per language (expected, chosen by a hash),
 #: languages, words and n-grams kept per language, n-gram lengths, and the characters of a sampled word.
@@ -141,21 +141,23 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     sample = rows.where(place < F.coalesce(F.try_element_at(share, "lang"), F.lit(0.0)))
     counts = sample.mapInArrow(_count_batches, "lang string, n int, item string, c bigint").groupBy("lang", "n", "item").agg(F.sum("c").alias("c"))
     ranked = counts.where((F.col("c") > 1) | (F.col("n") == 1))
-    return Model(_largest(ranked))
+    return Model(_largest(Scratch(docs.sparkSession).keep(ranked)))
 
 
 def _largest(counts: DataFrame) -> list[tuple]:
     """The most frequent words and n-grams of each language: bounded by the constants above."""
-    top = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("size"), F.percentile_approx("c", F.array(*[F.lit(x / 200) for x in range(200)]), 10000).alias("steps"))
-    cuts = []
-    for r in top.collect():
-        most = MAX_WORDS if r["n"] == 0 else MAX_GRAMS
-        cut = 0 if r["size"] <= most else r["steps"][min(199, math.ceil(200 * (1 - most / r["size"])))]
-        cuts.append((r["lang"], r["n"], cut))
-    least = F.create_map(*[F.lit(x) for lang, n, cut in cuts for x in (f"{n}:{lang}", cut)]) if cuts else None
-    if least is None:
+    sizes = counts.groupBy("lang", "n", "c").agg(F.count(F.lit(1)).alias("items")).orderBy("lang", "n", F.desc("c")).collect()
+    least: dict[str, int] = {}
+    room: dict[str, int] = {}
+    for r in sizes:
+        key = f"{r['n']}:{r['lang']}"
+        room[key] = room.get(key, MAX_WORDS if r["n"] == 0 else MAX_GRAMS) - r["items"]
+        if room[key] >= 0:
+            least[key] = r["c"]
+    if not least:
         return []
-    kept = counts.where(F.col("c") >= F.try_element_at(least, F.concat(F.col("n").cast("string"), F.lit(":"), F.col("lang"))))
+    cut = F.create_map(*[F.lit(x) for item in least.items() for x in item])
+    kept = counts.where(F.col("c") >= F.try_element_at(cut, F.concat(F.col("n").cast("string"), F.lit(":"), F.col("lang"))))
     found = kept.select("lang", "n", "item", "c").toArrow()
     return list(zip(*(c.to_pylist() for c in found.columns)))
 
