@@ -307,7 +307,7 @@ def merged(runs: DataFrame) -> DataFrame:
 def union_of(runs) -> list[tuple[int, int]]:
     """Sorted runs (a, z) with overlapping and touching ones joined."""
     out: list[list[int]] = []
-    for r in runs or ():
+    for r in () if runs is None else runs:
         a, z = r["a"], r["z"]
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], z)

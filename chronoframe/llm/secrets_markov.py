@@ -174,7 +174,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each run of overlapping spans in text replaced by a mark; a null text stays null."""
+    """docs with each run of overlapping spans in text replaced by a mark, and n_chars set where there is one; a null text stays null."""
     found = scan(docs)
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
@@ -185,4 +185,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     done = found.withColumn("_done", F.when(F.size("spans") > 0, F.aggregate("spans", zero, step)))
     text = F.when(F.col("_done").isNull(), F.col("text")).otherwise(F.concat(F.array_join("_done.out", ""), F.expr("substring(text, _done.at + 1)")))
-    return done.withColumn("text", text).select(*[f"`{c}`" for c in docs.columns])
+    out = done.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[f"`{c}`" for c in docs.columns])

@@ -219,6 +219,15 @@ def links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInArrow(_verify(radius), "u bigint, v bigint")
 
 
+def _classes(own: DataFrame, least, radius: int, scratch: Scratch) -> DataFrame:
+    """(fp, least) with the smallest least of the component, for fingerprints own(fp, ...)."""
+    fps = scratch.keep(own.groupBy("fp").agg(F.min(least).alias("least")))
+    roots = components(links(fps, scratch, radius), scratch)
+    joined = scratch.keep(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    firsts = joined.groupBy("root").agg(F.min("least").alias("first"))
+    return scratch.keep(joined.select("root", "fp").join(firsts, "root").select("fp", F.col("first").alias("least")))
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable by links.
 
@@ -226,12 +235,21 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     Null ids stay null and count as no id: a component of nulls only has a null id.
     Repeated rows give equal rows; an empty table gives none.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     own = scratch.keep(fingerprints(docs, width))
-    fps = scratch.keep(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(fps, scratch, radius), scratch)
-    joined = scratch.keep(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.keep(joined.join(least, "root").select("fp", "component_id"))
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _classes(own, F.col("doc_id"), radius, scratch)
+    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
+    """docs without the near-duplicates of a document that stays: of each component the least (doc_id, hash of the text).
+
+    Nulls sort first among ids; of rows that repeat in full one stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    key = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    own = scratch.keep(fingerprints(docs.select(key.alias("doc_id"), "text"), width))
+    stay = _classes(own, F.col("doc_id"), radius, scratch).select(F.col("least").alias("_key")).distinct()
+    stay = scratch.keep(stay.select(F.coalesce(F.col("_key.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("_key.th").alias("_th")))
+    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return marked.join(stay, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*[f"`{c}`" for c in docs.columns])
