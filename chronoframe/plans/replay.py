@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronoframe.plans.rates import _RATED, _samples
 from chronoframe.plans.reads import as_of
 from chronoframe.plans.registry import query
 from chronoframe.plans.upkeep import _ARRIVED, _arrived
 from chronoframe.sources.fixtures import TARGET
+from chronoframe.sources.shared import folder
 from chronoframe.streaming import replay as L
 
 _OUTCOME = "CASE WHEN idx <= 1000 THEN 'durable' WHEN idx = i THEN 'no-op' WHEN idx < i THEN 'late' WHEN ts <= t THEN 'version went back' ELSE 'applied' END"
@@ -18,6 +20,13 @@ def l1(f):
     return L.dispositions(_arrived(f), ["k"], 1000).select("k", "idx", "outcome")
 
 
+@query("l1_apply_stream", ", a AS (SELECT k, idx, CASE WHEN idx % 41 = 0 THEN ts - 30000000000000 ELSE ts END AS ts FROM log), t AS (SELECT *, max(ts) OVER (PARTITION BY k ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM a) SELECT k, idx, CASE WHEN ts <= top THEN 'version went back' ELSE 'applied' END AS outcome FROM t")
+def l1b(f):
+    i = F.col("idx")
+    rows = f.log().select("k", "idx", F.when(i % 41 == 0, F.col("ts") - 30000000000000).otherwise(F.col("ts")).alias("ts"))
+    return L.drain(rows.coalesce(1), L.apply_stream, folder(f.spark, "stream"))
+
+
 @query("l2_watermarks", "SELECT term, max(ts) AS applied, greatest(max(ts), max(CASE WHEN entry_type = 1 THEN ts + 1000 * term END)) AS safe_read FROM log GROUP BY term")
 def l2(f):
     log = f.log()
@@ -56,6 +65,12 @@ def l7(f):
     return select_as_of(base.unionByName(v.where(F.col("ts") > TARGET))).select("k", "ts", "kind", "value")
 
 
+@query("l8_sample_stream", _RATED + "SELECT range_id, replica_id, at_us, reads_rate FROM rated")
+def l8(f):
+    rows = _samples(f).select("range_id", "replica_id", "at_us", "reads")
+    return L.drain(rows.coalesce(1), L.sample_stream, folder(f.spark, "stream"))
+
+
 @query("l9_fair_queue", "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS turn FROM ev")
 def l9(f):
     return L.fair_order(f.events().select("user_id", "event_id", F.col("event_id").alias("seq")), "user_id").select("user_id", "event_id", "turn")

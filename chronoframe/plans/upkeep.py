@@ -8,6 +8,7 @@ from chronoframe.operators import catalog as C
 from chronoframe.operators import maintenance as M
 from chronoframe.plans.reads import _REPORT, T, as_of
 from chronoframe.plans.registry import query
+from chronoframe.sources.shared import folder
 
 _FILES = ", placed AS (SELECT CASE WHEN event_id < 2000 THEN 1000 + CAST(k AS BIGINT) * 4 // n ELSE (event_id - 2000) // 500 + 1 END AS file_number, v.* FROM versions v, nn)"
 
@@ -82,14 +83,7 @@ def w7(f):
 
 @query("w8_flush", "SELECT k, ts, kind, value FROM versions")
 def w8(f):
-    import uuid
-
-    named = f.spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
-
-        named = tempfile.mkdtemp(prefix="chronoframe-flush-")  # a local test run only
-    return M.flush(f.versions(), f"{named.rstrip('/')}/flush-{uuid.uuid4().hex}", 8)
+    return M.flush(f.versions(), folder(f.spark, "flush"), 8)
 
 
 @query("w9_last_write", ", r AS (SELECT k, ts, kind, value, event_id AS seq FROM versions UNION ALL SELECT k, ts, kind, value + 1, event_id + 1000000 FROM versions WHERE event_id % 3 = 0) SELECT k, ts, kind, value, seq FROM r QUALIFY row_number() OVER (PARTITION BY k, ts, kind ORDER BY seq DESC) = 1")

@@ -114,3 +114,13 @@ def apply_stream(log: DataFrame) -> DataFrame:
 def sample_stream(samples: DataFrame) -> DataFrame:
     """Rates of a stream of samples(range_id, replica_id, at_us, reads), with state by counter."""
     return samples.groupBy("range_id", "replica_id").transformWithStateInPandas(Sampler(), "range_id bigint, replica_id bigint, at_us bigint, reads_rate bigint", "Append", "None")
+
+
+def drain(rows: DataFrame, build, folder: str) -> DataFrame:
+    """Rows of a stream over a table: written to a shared folder, streamed to its end, read back."""
+    spark = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows.write.parquet(f"{folder}/in")
+    out = build(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+    out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
