@@ -147,33 +147,35 @@ def _probe(parts):
 
 
 def _verify(radius: int):
-    def pairs(rows, forest):
-        """rows: (block, first, second, own, fp) of one key."""
-        split = rows[0][1] != rows[0][2]
-        left = [r[4] for r in rows if r[3] and (not split or r[0] == r[1])]
-        right = [(r[4], r[3]) for r in rows if not split or r[0] == r[2]]
-        if split:
-            yield from ((a, b) for a, b in _near(left, [x for x, _ in right], radius, forest))
-            yield from _near([x for x, own in right if own], [r[4] for r in rows if not r[3] and r[0] == r[1]], radius, forest)
+    """Spanning edges of the links within groups of rows (part, key, b1, b2, block, own, fp), sorted by group."""
+
+    def compare(rows: dict[str, np.ndarray], forest: Forest) -> None:
+        fp, own, block = rows["fp"], rows["own"], rows["block"]
+        if rows["b1"][0] == rows["b2"][0]:
+            _join_near(fp[own], fp, radius, forest)
         else:
-            yield from _near(left, [x for x, _ in right], radius, forest)
+            first = block == rows["b1"][0]
+            _join_near(fp[first & own], fp[~first], radius, forest)
+            _join_near(fp[~first & own], fp[first & ~own], radius, forest)
 
     def run(batches):
-        forest, key, rows = Forest(), None, []
-
-        def close():
-            if len(rows) > 1:
-                for a, b in pairs(rows, forest):
-                    forest.join(a, b)
-
+        forest, held = Forest(), None
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns]
-            for k in zip(*cols):
-                if k[:4] != key:
-                    close()
-                    key, rows = k[:4], []
-                rows.append((k[4], k[2], k[3], k[5], k[6]))
-        close()
+            now = {f.name: c.to_numpy(zero_copy_only=False) for f, c in zip(b.schema, b.columns)}
+            if held is not None:
+                now = {n: np.concatenate([held[n], x]) for n, x in now.items()}
+            if not len(now["fp"]):
+                continue
+            new = np.zeros(len(now["fp"]) - 1, bool)
+            for n in ("part", "key", "b1", "b2"):
+                new |= now[n][1:] != now[n][:-1]
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            for a, z in zip(cuts, cuts[1:]):
+                if z - a > 1:
+                    compare({n: x[a:z] for n, x in now.items()}, forest)
+            held = {n: x[cuts[-1] :] for n, x in now.items()}
+        if held is not None and len(held["fp"]) > 1:
+            compare(held, forest)
         out = forest.edges()
         for at in range(0, len(out), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[at : at + 50_000])], ["u", "v"])
@@ -181,21 +183,33 @@ def _verify(radius: int):
     return run
 
 
-def _near(left: list[int], right: list[int], radius: int, forest: Forest):
-    """Pairs of different fingerprints within the radius, those already joined left out where that is cheap."""
-    if len(left) * len(right) <= 400:
-        m = (1 << BITS) - 1
-        for a in left:
-            for b in right:
-                if a != b and ((a ^ b) & m).bit_count() <= radius:
-                    yield a, b
+def _join_near(left: np.ndarray, right: np.ndarray, radius: int, forest: Forest) -> None:
+    """Joins what links within the radius connect between two lists of fingerprints.
+
+    Links are not listed: a row's hits are joined by their labels, of which a dense group
+    soon has one.
+    """
+    if not len(left) or not len(right):
+        return
+    if len(left) * len(right) <= 64:
+        for a in left.tolist():
+            for b in right.tolist():
+                if a != b and ((a ^ b) & ((1 << BITS) - 1)).bit_count() <= radius:
+                    forest.join(a, b)
         return
-    x, y = np.array(left, np.int64), np.array(right, np.int64)
-    for at in range(0, len(x), 256):
-        i, j = np.nonzero(np.bitwise_count((x[at : at + 256, None] ^ y[None]).view(np.uint64)) <= radius)
-        for a, b in zip(x[at + i].tolist(), y[j].tolist()):
-            if a != b and forest.find(a) != forest.find(b):
-                yield a, b
+    nodes = np.unique(np.concatenate([left, right]))
+    x, y = np.searchsorted(nodes, left), np.searchsorted(nodes, right)
+    label = np.arange(len(nodes))
+    for at in range(0, len(left), 256):
+        near = np.bitwise_count((left[at : at + 256, None] ^ right[None]).view(np.uint64)) <= radius
+        near &= x[at : at + 256, None] != y[None]
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            own, others = label[x[at + i]], label[y[near[i]]]
+            if (others != own).any():
+                met = np.unique(np.append(others, own))
+                label[np.isin(label, met)] = met[0]
+    for i in np.flatnonzero(label != np.arange(len(nodes))).tolist():
+        forest.join(int(nodes[i]), int(nodes[label[i]]))
 
 
 def links(fps: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
