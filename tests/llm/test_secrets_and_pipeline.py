@@ -81,3 +81,12 @@ def test_pipeline_stages(spark):
     assert not any("f37ce52754da2d09bf" in t for t in out["secret scan"].values())
     packed = corpus_pipeline.STAGES[4][1](spark, kept, "")
     assert {r["doc_id"] for r in packed.collect()} == set(out["secret scan"])
+
+
+def test_every_operator_is_registered():
+    import __spark_entry__
+
+    names = set(__spark_entry__.queries())
+    assert "pipeline" in names
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11))
+    assert [f.__module__ for _, f in corpus_pipeline.STAGES] == ["corpus_pipeline"] * 5
