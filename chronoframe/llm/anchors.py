@@ -80,6 +80,10 @@ class Bytes:
     def hashes(self, lo: int, hi: int) -> np.ndarray:
         return _BYTE[np.frombuffer(self.data, np.uint8, hi - lo, lo)]
 
+    def edges(self, lo: np.ndarray, hi: np.ndarray):
+        """Where spans of units start and end in the data."""
+        return lo, hi
+
     def cut(self, lo: int, hi: int) -> bytes:
         return self.data[lo:hi]
 
@@ -106,6 +110,9 @@ class Words:
         x = _BYTE[np.frombuffer(self.data, np.uint8, b - a, a)]
         return spans_hash(x, self.start[lo:hi] - a, self.end[lo:hi] - a)
 
+    def edges(self, lo: np.ndarray, hi: np.ndarray):
+        return self.start[lo], self.end[hi - 1]
+
     def cut(self, lo: int, hi: int) -> bytes:
         return self.data[self.start[lo] : self.end[hi - 1]] if hi > lo else b""
 
@@ -161,6 +168,19 @@ def _rows(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], _NAMES)
 
 
+def _first_keys(shape: Shape):
+    """Only the groups of all anchors of texts (text)."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 200):
+                found = [h for data in b.column(0).slice(at, 200).to_pylist() for _, h in anchors(shape.units.of(data), shape.window, shape.ranges[0])]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["gk"])
+
+    return run
+
+
 def _first_members(shape: Shape):
     """Members (group, class, document, anchor, segment) of all texts (doc_id, th, text)."""
 
@@ -168,15 +188,24 @@ def _first_members(shape: Shape):
         digest, r = xxhash.xxh3_64_intdigest, shape.ranges[0]
         for b in batches:
             for at in range(0, b.num_rows, 200):
-                rows = []
+                keys, classes, docs, hashes, places, los, his = [], [], [], [], [], [], []
                 for doc, th, data in zip(*(c.to_pylist() for c in b.slice(at, 200).columns)):
                     text = shape.units.of(data)
-                    for place, h in anchors(text, shape.window, r):
-                        for p, g in zip(place.tolist(), h.view(np.int64).tolist()):
-                            lo, hi = segment(p, 0, text.size, shape.window, r)
-                            rows.append((g, _signed(digest(text.cut(lo, hi), p - lo)), doc, th, 0, p, lo, hi))
-                if rows:
-                    yield _rows(rows)
+                    for p, h in anchors(text, shape.window, r):
+                        lo, hi = np.maximum(p - r + 1, 0), np.minimum(p + shape.window, text.size)
+                        a, z = text.edges(lo, hi)
+                        raw = text.data
+                        classes += [digest(raw[x:y], g) for x, y, g in zip(a.tolist(), z.tolist(), (p - lo).tolist())]
+                        keys.append(h.view(np.int64))
+                        docs.append(np.full(len(p), doc, np.int64))
+                        hashes.append(np.full(len(p), th, np.int64))
+                        places.append(p)
+                        los.append(lo)
+                        his.append(hi)
+                if keys:
+                    joined = [np.concatenate(x) for x in (keys, docs, hashes, places, los, his)]
+                    own = [joined[0], np.array(classes, np.uint64).view(np.int64), joined[1], joined[2], np.zeros(len(classes), np.int64), *joined[3:]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], _NAMES)
 
     return run
 
@@ -207,23 +236,46 @@ def _next_members(shape: Shape, level: int):
 
 
 def _cut(shape: Shape, first: bool):
-    """Segments' own data from sources (doc_id, th, src, base, data, wanted)."""
+    """Segments' own data from sources (doc_id, th, base, data, wanted)."""
 
     def run(batches):
         for b in batches:
-            for row in range(b.num_rows):
-                doc, th, base, data, wanted = (c[row].as_py() for c in b.columns)
-                text = shape.units.of(data) if first else shape.units(data)
-                for at in range(0, len(wanted), 1000):
-                    part = wanted[at : at + 1000]
-                    cols = [pa.array([w[n] for w in part], pa.int64()) for n in ("gk", "g", "p", "lo", "hi")]
-                    cut = pa.array([text.cut(w["lo"] - base, w["hi"] - base) for w in part], pa.binary())
-                    n = len(part)
-                    yield pa.RecordBatch.from_arrays([cols[0], cols[1], pa.array([doc] * n, pa.int64()), pa.array([th] * n, pa.int64()), *cols[2:], cut], ["gk", "g", "doc_id", "th", "p", "lo", "hi", "data"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                doc, th, base, data = (c.to_pylist() for c in part.columns[:4])
+                wanted = part.column(4)
+                n = np.diff(np.asarray(wanted.offsets))
+                flat = wanted.flatten()
+                gk, g, p, lo, hi = (np.asarray(flat.field(x)) for x in ("gk", "g", "p", "lo", "hi"))
+                ids = np.repeat(np.arange(len(n)), n)
+                for start, end in _portions(n):
+                    cut, begin = [], int(n[:start].sum())
+                    rows = slice(begin, begin + int(n[start:end].sum()))
+                    for i in range(start, end):
+                        text = shape.units.of(data[i]) if first else shape.units(data[i])
+                        own = slice(begin, begin + int(n[i]))
+                        a, z = text.edges(lo[own] - base[i], hi[own] - base[i])
+                        raw = text.data
+                        cut += [raw[x:y] for x, y in zip(a.tolist(), z.tolist())]
+                        begin += int(n[i])
+                    docs, hashes = np.array(doc, np.int64)[ids[rows]], np.array(th, np.int64)[ids[rows]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (gk[rows], g[rows], docs, hashes, p[rows], lo[rows], hi[rows])), pa.array(cut, pa.binary())], ["gk", "g", "doc_id", "th", "p", "lo", "hi", "data"])
 
     return run
 
 
+def _portions(n: np.ndarray, most: int = 20_000):
+    """Ranges of rows that make about so many segments each."""
+    start, total = 0, 0
+    for i, x in enumerate(n.tolist()):
+        total += x
+        if total >= most:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(n):
+        yield start, len(n)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) as (doc_id, th, text): a null id becomes the least number, th is a hash of the text."""
     text = F.coalesce("text", F.lit(""))
@@ -239,7 +291,8 @@ def covered(docs: DataFrame, shape: Shape, solve: Callable, keep_first: bool, sc
     """
     width = shuffle_width(docs.sparkSession)
     members = docs.mapInArrow(_first_members(shape), MEMBERS)
-    seen = scratch.keep(members.groupBy("gk").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gk"))
+    keys = docs.select("text").mapInArrow(_first_keys(shape), "gk bigint")
+    seen = scratch.keep(keys.groupBy("gk").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gk"))
     found = scratch.keep(members.join(seen, "gk", "left_semi"))
     source = docs.select("doc_id", "th", F.lit(0).cast("bigint").alias("src"), F.lit(0).cast("bigint").alias("base"), F.col("text").alias("data"))
     runs = []
