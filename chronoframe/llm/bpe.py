@@ -50,6 +50,7 @@ class Encoder(dict):
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.tokens = {i: t.encode() for t, i in self.special.items()}
         self.tokens |= {i: bytes(alphabet[c] for c in t) for t, i in vocab.items() if t not in self.special}
+        self.old: dict[str, bytes] = {}
         self.first = [0] * 256
         for i, t in self.tokens.items():
             if len(t) == 1:
@@ -61,10 +62,13 @@ class Encoder(dict):
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.merge(piece.encode())
-        packed = struct.pack(f"<{len(ids)}I", *ids)
+        packed = self.old.get(piece)
+        if packed is None:
+            ids = self.merge(piece.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE:  # what was used since the last time stays
+                self.old = dict(self)
                 self.clear()
             self[piece] = packed
         return packed

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.bpe import CACHED_CHARS, PLAIN, _LATIN, load
+from chronoframe.llm.bpe import CACHED_CHARS, PLAIN, _LATIN, byte_alphabet, load
 from chronoframe.llm.common import Scratch
 
 CAPACITY = 2048
@@ -37,11 +37,19 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_str(source.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.letters = {b: c for c, b in byte_alphabet().items()}
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        packed = self.whole(word)
+        packed = self.old.get(word)
+        if packed is None:
+            raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = [t.id for t in self.model.tokenize(raw)]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(word) <= CACHED_CHARS:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE:  # what was used since the last time stays
+                self.old = dict(self)
                 self.clear()
             self[word] = packed
         return packed
