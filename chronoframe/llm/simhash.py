@@ -267,3 +267,157 @@ def first_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) ->
     stay = scratch.keep(stay.select(F.coalesce(F.col("_key.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("_key.th").alias("_th")))
     marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
     return marked.join(stay, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*[f"`{c}`" for c in docs.columns])
+
+
+# ---- the pipeline's stage: similar shingle sets
+
+#: The stage's shingles have five words; texts that share four fifths of all their shingles are near-duplicates.
+SIMILAR_WIDTH, SHARE, OF = 5, 4, 5
+#: Candidates whose fingerprints differ in more bits are not compared. At a similarity of 0.8 fingerprints of
+#: distinct shingles differ in 9.7 bits on average with a deviation of 2.9; sets below SHORT are compared anyway.
+SIMILAR_RADIUS, SHORT = 24, 16
+#: Documents that common shingles are counted on, and how many of these at most; both change the cost, never the result.
+COMMON_SAMPLE, COMMON, COMMON_LEAST = 4000, 20_000, 8
+#: Rounds in which each shared shingle compares its documents with one of them, before all that are still apart are compared.
+STAR_ROUNDS = 6
+
+
+def shingle_set(text: str, width: int = SIMILAR_WIDTH) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, width)], np.uint64))
+
+
+def set_prefix(u: np.ndarray, common: dict[int, int]) -> np.ndarray:
+    """The first shingles of a set in an order that is the same for all: two sets as similar as SHARE / OF have one of them in common.
+
+    Common shingles come last, by falling rank: the most frequent has rank 0.
+    """
+    size = len(u) - (SHARE * len(u) + OF - 1) // OF + 1 if len(u) else 0
+    rank = np.array([common.get(x, -1) for x in u.tolist()])
+    first = u[rank < 0][:size] if len(u) else u
+    if len(first) < size:
+        late = np.argsort(-rank, kind="stable")[: int((rank >= 0).sum())]
+        first = np.concatenate([first, u[late[: size - len(first)]]])
+    return first
+
+
+def _bits_of(u: np.ndarray) -> int:
+    ones = np.unpackbits(u.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(u), bitorder="little").view("<u8")[0])
+
+
+def _sketch(common: dict[int, int]):
+    """Of (_id, _th, text): _id, _th, set (a hash of the shingle set), fp, n and the set's prefix."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                sets = [shingle_set(t or "") for t in part.column(2).to_pylist()]
+                cols = [
+                    pa.array(np.array([xxhash.xxh64_intdigest(u.tobytes(), SEED) for u in sets], np.uint64).view(np.int64)),
+                    pa.array(np.array([_bits_of(u) if len(u) else 0 for u in sets], np.uint64).view(np.int64)),
+                    pa.array([len(u) for u in sets], pa.int32()),
+                    pa.array([set_prefix(u, common).view(np.int64) for u in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["_id", "_th", "set", "fp", "n", "prefix"])
+
+    return run
+
+
+def _hashes(batches):
+    """Of (set, text): set and all its shingle hashes."""
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t or "").view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["set", "all"])
+
+
+def _common(texts: DataFrame) -> dict[int, int]:
+    """The ranks of the shingles that a bounded sample has most often."""
+    rows = texts.count()
+    share = min(1.0, COMMON_SAMPLE / max(1, rows))
+    sample = texts.where(F.pmod(F.xxhash64("_id", "_th"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(2 * COMMON_SAMPLE)
+    counts = sample.select(F.col("_th").alias("set"), "text").mapInArrow(_hashes, "set bigint, all array<bigint>").select(F.explode("all").alias("h")).groupBy("h").count()
+    top = counts.where(F.col("count") >= COMMON_LEAST).orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    return {r["h"] & ((1 << BITS) - 1): i for i, r in enumerate(top)}
+
+
+def _may_be_similar(a: str, b: str):
+    """Whether two sets' sizes and fingerprints allow the similarity."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    near = F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= SIMILAR_RADIUS
+    return (n * OF >= m * SHARE) & (m * OF >= n * SHARE) & (near | (F.least(n, m) < SHORT))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs(u, v) whose shingle sets are as similar as SHARE / OF, compared shingle by shingle."""
+    a, b = sets.select(F.col("set").alias("u"), F.col("all").alias("_a")), sets.select(F.col("set").alias("v"), F.col("all").alias("_b"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    return pairs.join(a, "u").join(b, "v").where(both * (SHARE + OF) >= (F.size("_a") + F.size("_b")) * SHARE).select("u", "v")
+
+
+def similar_sets(shared: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) of the sets that similar pairs connect, of shared(token, set, fp, n): each set's prefix.
+
+    A dense group would have a pair for each two members. So each token first compares its sets
+    with one of them, chosen anew each round, and sets that are connected already are not compared
+    again. Then all pairs of a token that are still apart are: each has one set outside the token's
+    largest component.
+    """
+    edges = roots = before = None
+    for k in range(STAR_ROUNDS + 1):
+        if roots is None:
+            now = shared.withColumn("root", F.col("set"))
+        else:
+            now = shared.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+        now = scratch.keep(now)
+        cells = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
+        tokens = cells.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.sum("c").alias("all"), F.max("c").alias("most"))
+        tokens = scratch.keep(tokens.where("all > most"))
+        work = tokens.agg(F.sum(F.col("all") * (F.col("all") - F.col("most"))), F.sum("all")).first()
+        if not work[0]:
+            break
+        last = k == STAR_ROUNDS or work[0] <= 20 * work[1] or (before is not None and work[0] > 0.8 * before)
+        before = work[0]
+        apart = now.join(tokens.select("token", "big"), "token")
+        other = apart.select("token", F.col("set").alias("v"), F.col("fp").alias("v_fp"), F.col("n").alias("v_n"), F.col("root").alias("v_root"))
+        if last:
+            left = apart.where("root != big").select("token", F.col("set").alias("u"), F.col("fp").alias("u_fp"), F.col("n").alias("u_n"), F.col("root").alias("u_root"))
+        else:
+            middle = F.min_by(F.struct("set", "fp", "n", "root"), F.xxhash64(F.lit(k), "token", "set")).alias("m")
+            left = apart.groupBy("token").agg(middle).select("token", F.col("m.set").alias("u"), F.col("m.fp").alias("u_fp"), F.col("m.n").alias("u_n"), F.col("m.root").alias("u_root"))
+        pairs = left.join(other, "token").where((F.col("u_root") != F.col("v_root")) & _may_be_similar("u_", "v_"))
+        pairs = scratch.keep(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+        found = scratch.keep(_similar(pairs, sets))
+        edges = found if edges is None else edges.unionByName(found)
+        roots = scratch.keep(components(edges, scratch))
+        if last:
+            break
+    return shared.select(F.col("set").alias("node"), F.col("set").alias("root")).limit(0) if roots is None else roots
+
+
+def first_of_similar(docs: DataFrame) -> DataFrame:
+    """docs without those that are similar to one that stays, directly or through others: of each component the least (doc_id, hash of the text).
+
+    Two texts are similar if they share four fifths of their distinct shingles of five words (a
+    shingle is known by its 64-bit hash); a text of fewer words is one shingle, and all without
+    words are alike. Sets that similar share one of their first shingles in any order; those that
+    do are candidates, the radius thins them out, and the rest are compared in full.
+    """
+    scratch = Scratch(docs.sparkSession)
+    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
+    texts = marked.select("_id", "_th", "text")
+    fields = "_id string, _th bigint, set bigint, fp bigint, n int, prefix array<bigint>"
+    own = scratch.keep(texts.mapInArrow(_sketch(_common(texts)), fields))
+    places = own.select(F.explode("prefix").alias("token"), "set", "fp", "n")
+    met = places.groupBy("token").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a != b").select("token")
+    shared = scratch.keep(places.join(met, "token", "left_semi").distinct())
+    least = F.min(F.struct(F.col("_id").try_cast("bigint").alias("id"), "_th", "_id"))
+    named = scratch.keep(own.groupBy("set").agg(least.alias("least")))
+    asked = named.join(shared.select("set").distinct(), "set", "left_semi").select("set", "least._id", "least._th")
+    sets = scratch.keep(asked.join(texts, ["_id", "_th"]).dropDuplicates(["set"]).select("set", "text").mapInArrow(_hashes, "set bigint, all array<bigint>"))
+    roots = similar_sets(shared, sets, scratch)
+    rooted = named.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    stay = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least._id", "least._th"))
+    return marked.join(stay, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*[f"`{c}`" for c in docs.columns])

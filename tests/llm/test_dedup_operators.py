@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from chronoframe.llm import anchors, column_bwt, pca_join, simhash, suffix_trees
 from tests.llm.helpers import EDGES, clashing, components, documents, words
 
@@ -163,6 +164,36 @@ def test_near_duplicate_edges(spark):
     assert Counter(r["doc_id"] for r in kept) == Counter([1, None, 4, 6, 7, 8])
 
 
+def test_similar_texts_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COMMON_SAMPLE", 100)
+    r, rows = random.Random(5), []
+    for _ in range(30):
+        base = words(r.random(), r.randrange(40, 200), 5000)
+        for changed in (0, 1, 1, 2, 3, 4, 6):
+            now = list(base)
+            for at in r.sample(range(len(now)), min(changed, len(now) // 25)):
+                now[at] = f"x{r.randrange(10**6)}"
+            rows.append(now)
+    dense = words(9, 150, 5000)
+    rows += [[*dense[:i], f"y{i}", *dense[i + 1 :]] for i in range(0, 140, 2)]
+    rows += [["same", "line"] * 6 + words(i, 12, 5000) for i in range(40)]
+    sets = [{" ".join(x[i : i + 5]) for i in range(len(x) - 4)} for x in rows]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if alike(sets[i], sets[j])]
+    assert sum(len(sets[i] & sets[j]) < 0.95 * len(sets[i] | sets[j]) for i, j in edges) > 100
+    docs = documents(spark, [(i, " ".join(x), "en", "s", 1) for i, x in enumerate(rows)])
+    want = {i for i, root in components(range(len(rows)), edges).items() if i == root}
+    assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+    monkeypatch.setattr(simhash, "STAR_ROUNDS", 0)
+    assert {x["doc_id"] for x in simhash.first_of_similar(docs).collect()} == want
+
+
+def test_similar_edges(spark):
+    kept = simhash.first_of_similar(clashing(spark, "fp", "prefix")).collect()
+    assert sorted(str(x["doc_id"]) for x in kept) == ["1", "4", "6", "7", "8", "None"]
+    assert simhash.first_of_similar(documents(spark, []).limit(0)).count() == 0
+
+
 def test_component_of_a_chain(spark):
     from chronoframe.llm.common import Scratch
     from chronoframe.llm.components import components as connected
