@@ -83,6 +83,17 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed.collect()} == set(out["secret scan"])
 
 
+def test_passages_of_short_words_are_removed(spark):
+    r = random.Random(8)
+    short = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(51)]
+    passage = " ".join(short)
+    texts = [" ".join(f"{a}{r.randrange(10**6)}" for a in "xyz" * 30) for _ in range(4)]
+    rows = [(i, f"{t} {passage} {t[::-1]}" if i < 3 else t, "en", "s", 1) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x["text"] for x in corpus_pipeline.passage_dedup(spark, documents(spark, rows), "").collect()}
+    assert not any(" ".join(short[1:-1]) in t for t in got.values())
+    assert all(t in got[i] and (i == 3 or t[::-1] in got[i]) for i, t in enumerate(texts))
+
+
 def test_every_operator_is_registered():
     import __spark_entry__
 
