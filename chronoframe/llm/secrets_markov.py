@@ -1,8 +1,9 @@
 """Secret scans with patterns and character Markov models, in DataFrame functions only.
 
 Two first-order Markov models, one of random strings and one of ordinary identifiers,
-are trained from labelled samples. A long run of token characters is reported when the
-logarithm of its likelihood ratio is high enough. The patterns' matches are always kept.
+are trained from labelled samples. Of a long run of token characters the stretches are
+reported where the logarithm of the likelihood ratio is high enough, whatever stands
+beside them. The patterns' matches are always kept, and cut out of the runs.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ LEAST_VALUE = 8
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 KIND = "random"
 LEAST_RATIO, LEAST_A_CHARACTER = 12.0, 0.6
+#: The shortest stretch of a run that is judged by itself, and what a stretch is made whole to.
+LEAST_STRETCH, PIECE = 16, "[A-Za-z0-9+]"
 #: Bounds of the labelled samples: random strings, and documents whose words are the identifiers.
 RANDOM_STRINGS, SAMPLE_DOCUMENTS, WORDS_A_DOCUMENT = 3000, 2000, 400
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -114,11 +117,71 @@ def train(spark: SparkSession, texts: DataFrame) -> list[float]:
     return [math.log(counts[1][i] / totals[1][i // SIZE]) - math.log(counts[0][i] / totals[0][i // SIZE]) for i in range(SIZE * SIZE)]
 
 
+def ratios(s: Column, model: list[float]) -> Column:
+    """Logarithm of the likelihood ratio of each character of a string."""
+    table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")  # folded once, when the plan is made
+    return F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.element_at(table, (_codes(s, i - 1) * SIZE + _codes(s, i) + 1).cast("int")))
+
+
 def ratio(s: Column, model: list[float]) -> Column:
     """Logarithm of the likelihood ratio of a string."""
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")  # folded once, when the plan is made
-    steps = F.sequence(F.lit(1), F.length(s))
-    return F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + F.element_at(table, (_codes(s, i - 1) * SIZE + _codes(s, i) + 1).cast("int")))
+    return F.aggregate(ratios(s, model), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def _stretches(steps: Column) -> Column:
+    """array<struct<s, e>>: stretches of characters' ratios that reach the least ratio, in all and for each character.
+
+    A stretch begins where the sum of what is above the least for a character rises from zero and
+    ends at its highest, once the sum has fallen to zero or by the least ratio.
+    """
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(0.0).alias("up"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("top"), F.lit(0.0).alias("top_sum"), F.lit(0).alias("e"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("out"))
+
+    def closed(acc):
+        good = (acc["top_sum"] >= LEAST_RATIO) & (acc["e"] - acc["s"] >= LEAST_STRETCH)
+        return F.when(good, F.array_append(acc["out"], F.struct(acc["s"].alias("s"), acc["e"].alias("e")))).otherwise(acc["out"])
+
+    def add(acc, x):
+        up = acc["up"] + x - LEAST_A_CHARACTER
+        higher = up > acc["top"]
+        over = (up <= 0) | (acc["top"] - up >= LEAST_RATIO)
+        end = F.struct((acc["i"] + 1).alias("i"), (acc["i"] + 1).alias("s"), F.lit(0.0).alias("up"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("top"), F.lit(0.0).alias("top_sum"), F.lit(0).alias("e"), closed(acc).alias("out"))
+        total = acc["sum"] + x
+        more = F.struct((acc["i"] + 1).alias("i"), acc["s"].alias("s"), up.alias("up"), total.alias("sum"), F.when(higher, up).otherwise(acc["top"]).alias("top"), F.when(higher, total).otherwise(acc["top_sum"]).alias("top_sum"), F.when(higher, acc["i"] + 1).otherwise(acc["e"]).alias("e"), acc["out"].alias("out"))
+        return F.when(over, end).otherwise(more)
+
+    return F.aggregate(steps, zero, add, closed)
+
+
+def _reported(run: Column, model: list[float]) -> Column:
+    """array<struct<s, e>> of a run(s, e, m) of the text: all of it if it reaches the limit, else its stretches, made whole to the separators beside them."""
+    m, size = run["m"], F.length(run["m"])
+    whole = F.array(F.struct(run["s"].alias("s"), run["e"].alias("e")))
+
+    def judged(steps):
+        limit = F.greatest(F.lit(LEAST_RATIO), F.lit(LEAST_A_CHARACTER) * size)
+
+        def grown(x):
+            left = F.length(F.regexp_extract(F.substring(m, F.lit(1), x["s"]), f"{PIECE}*$", 0))
+            right = F.length(F.regexp_extract(F.substring(m, x["e"] + 1, size), f"^{PIECE}*", 0))
+            return F.struct((run["s"] + x["s"] - left).alias("s"), (run["s"] + x["e"] + right).alias("e"))
+
+        return F.when(F.aggregate(steps, F.lit(0.0), lambda acc, x: acc + x) >= limit, whole).otherwise(F.array_distinct(F.transform(_stretches(steps), grown)))
+
+    return F.flatten(F.transform(F.array(ratios(m, model)), judged))
+
+
+def _outside(run: Column) -> Column:
+    """array<struct<s, e, m>>: what the base spans, sorted by start, leave of a run."""
+    near = F.filter("base", lambda b: (b["s"] < run["e"]) & (run["s"] < b["e"]))
+    zero = F.struct(run["s"].alias("at"), F.expr("cast(array() as array<struct<s:int,e:int>>)").alias("out"))
+
+    def cut(acc, b):
+        left = F.array_append(acc["out"], F.struct(acc["at"].alias("s"), b["s"].alias("e")))
+        return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.when(b["s"] > acc["at"], left).otherwise(acc["out"]).alias("out"))
+
+    rest = F.aggregate(near, zero, cut, lambda acc: F.array_append(acc["out"], F.struct(acc["at"].alias("s"), run["e"].alias("e"))))
+    named = F.transform(F.filter(rest, lambda x: x["e"] - x["s"] >= LEAST_STRETCH), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.substring(run["m"], x["s"] - run["s"] + 1, x["e"] - x["s"]).alias("m")))
+    return F.when(F.size(near) > 0, named).otherwise(F.array(run))
 
 
 # ---- the scan
@@ -150,10 +213,8 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
             spans = F.filter(spans, lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 1)) >= LEAST_VALUE)
         own.append(kinded(spans, k, kind))
     out = out.withColumn("base", F.array_sort(F.concat(*own)))
-    limit = lambda x: F.greatest(F.lit(LEAST_RATIO), F.lit(LEAST_A_CHARACTER) * F.length(x))
-    runs = F.filter(_spans(F.col("_random")), lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    out = out.withColumn("_runs", runs)
-    more = F.filter("_runs", lambda x: ratio(x["m"], model) >= limit(x["m"]))
+    out = out.withColumn("_runs", F.flatten(F.transform(_spans(F.col("_random")), _outside)))
+    more = F.flatten(F.transform("_runs", lambda x: _reported(x, model)))
     out = out.withColumn("spans", F.array_sort(F.concat("base", kinded(more, len(PATTERNS), KIND))))
     return out.select(*kept, "base", "spans")
 
