@@ -125,3 +125,12 @@ def test_frontier(spark):
     seq = lambda *x: spark.createDataFrame([(i,) for i in x], "seq bigint")
     assert M.frontier(seq(1, 2, 3, 5)).first()[0] == 3
     assert M.frontier(seq(2, 3)).first()[0] == 0
+
+
+def test_bloom_grows_with_the_keys(spark):
+    probes = spark.range(0, 400).selectExpr("concat(if(id < 200, 'a', 'k'), id) as k")
+    for n in (1000, 300_000):
+        keys = spark.range(n).selectExpr("concat('k', id) as k")
+        got = {r["k"]: r["may_contain"] for r in M.bloom_keys(keys, probes).collect()}
+        assert all(got[f"k{i}"] for i in range(200, 400)) and sum(got[f"a{i}"] for i in range(200)) <= 12
+    assert not any(r["may_contain"] for r in M.bloom_keys(keys.limit(0), probes).collect())
