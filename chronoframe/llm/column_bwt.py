@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm import anchors as A
-from chronoframe.llm.common import Scratch
+from chronoframe.llm.common import Scratch, numbered, renamed
 
 WINDOW = 400
 #: Places of an anchor in a window, by level of splitting; the first anchor has 128 bytes.
@@ -27,12 +27,12 @@ RANGES = (273, 17, 1)
 NONE = 256  # where a segment has no byte
 
 
-def repeated_starts(group: np.ndarray, symbols: np.ndarray, window: int) -> np.ndarray:
+def repeated_starts(group: np.ndarray, symbols: np.ndarray, window: int, rank: np.ndarray | None = None) -> np.ndarray:
     """For rows of symbols, grouped and aligned: whether the window from each early column recurs.
 
     group: numbers that do not fall. symbols: uint16, NONE where a row has no byte, which
     equals nothing. Column x of the result is true if another row of the group has the same
-    window symbols at x.
+    window symbols at x; with ranks, a row of a lower one.
     """
     n, width = symbols.shape
     starts = width - window + 1
@@ -57,12 +57,16 @@ def repeated_starts(group: np.ndarray, symbols: np.ndarray, window: int) -> np.n
         common = after
         if x < starts:
             deep = common >= window
-            out[order, x] = deep[:n] | deep[1:]
+            if rank is None:
+                out[order, x] = deep[:n] | deep[1:]
+            elif deep.any():
+                least = np.minimum.reduceat(rank[order], np.flatnonzero(~deep[:n]))
+                out[order, x] = rank[order] != least[np.cumsum(~deep[:n]) - 1]
     return out
 
 
-def solve(r: int, window: int = WINDOW):
-    """Runs that repeated windows cover, of segments sorted by group."""
+def solve(r: int, window: int = WINDOW, keep_first: bool = False):
+    """Runs that repeated windows cover, of segments sorted by group; keep_first: the earliest of equal windows is not covered."""
 
     def run(batches):
         for rows in A.groups(batches):
@@ -74,7 +78,11 @@ def solve(r: int, window: int = WINDOW):
                 symbols[i, lo - first[i] : hi - first[i]] = np.frombuffer(data, np.uint8)
             keys = np.array([row[0] for row in rows])
             group = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
-            yield from A.run_rows(rows, repeated_starts(group, symbols, window), first, window)
+            rank = None
+            if keep_first:  # by document, then place; equal ones, which repeat an id, tie
+                places = np.array([(row[1], row[3]) for row in rows])
+                rank = np.unique(places, axis=0, return_inverse=True)[1].ravel()
+            yield from A.run_rows(rows, repeated_starts(group, symbols, window, rank), first, window)
 
     return run
 
@@ -130,14 +138,18 @@ def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the covered bytes removed from text, and n_chars set where there is one.
+    """docs without the bytes of text that strings of window bytes cover which start earlier too, and n_chars set where there is one.
 
-    A character that loses some of its bytes goes as a whole. Null texts stay null.
+    Earlier is in a smaller doc_id, a null one being the least, or before in the same
+    document, so that the first copy of a passage stays. Rows that repeat an id are one
+    document in that respect and keep what they share at the same place. A character that
+    loses some of its bytes goes as a whole. Null texts stay null, other columns stay as
+    they are whatever their names, and an empty table gives none.
     """
     scratch = Scratch(docs.sparkSession)
-    own = A.keyed(docs)
     shape = A.Shape(A.Bytes, window, RANGES if window == WINDOW else _ranges(window))
-    runs = A.merged(scratch.keep(A.covered(own, shape, lambda r: solve(r, window), False, scratch)))
+    found = A.covered(A.keyed(docs.select("doc_id", "text")), shape, lambda r: solve(r, window, True), True, scratch)
+    runs = A.merged(scratch.keep(found))
 
     def cut(texts, runs):
         import pandas as pd
@@ -149,10 +161,11 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     cut.__annotations__ = {}
     udf = F.pandas_udf(cut, "string", F.PandasUDFType.SCALAR)
-    names = docs.columns
-    left = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(A.NO_ID))).withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    right = runs.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("runs").alias("_runs"))
-    out = left.join(right, ["_d", "_t"], "left").withColumn("text", udf("text", "_runs"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in names])
+    own, at = numbered(docs)
+    text = F.col(at["text"])
+    left = own.withColumn("doc_id", F.coalesce(F.col(at["doc_id"]).cast("bigint"), F.lit(A.NO_ID))).withColumn("th", F.xxhash64(F.coalesce(text, F.lit(""))))
+    out = left.join(runs, ["doc_id", "th"], "left").withColumn("left", udf(text, F.col("runs")))
+    new = {"text": F.col("left")}
+    if "n_chars" in at:
+        new["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    return out.select(renamed(at, **new))

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words: space and the five ASCII controls 9 to 13.
@@ -70,5 +70,16 @@ def own_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns c0, c1, ..., whose names no computed column has, and the new name by the old one."""
+    new = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*new), dict(zip(df.columns, new))
+
+
+def renamed(names: dict[str, str], **instead: Column) -> list[Column]:
+    """Columns that undo numbered(); instead has new values by old name."""
+    return [instead.get(old, F.col(new)).alias(old) for old, new in names.items()]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoframe.llm.common import numbered, renamed
+
 #: The base patterns, in the order of their kinds. Fixed values.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PATTERNS = (("assign", ASSIGN), ("access", r"AKIA[A-Z0-9]{12,}"), ("hex", r"[0-9a-f]{32,}"))
@@ -23,8 +25,9 @@ KIND = "random"
 LEAST_RATIO, LEAST_A_CHARACTER = 12.0, 0.6
 #: The shortest stretch of a run that is judged by itself, and what a stretch is made whole to.
 LEAST_STRETCH, PIECE = 16, "[A-Za-z0-9+]"
-#: Bounds of the labelled samples: random strings, and documents whose words are the identifiers.
-RANDOM_STRINGS, SAMPLE_DOCUMENTS, WORDS_A_DOCUMENT = 3000, 2000, 400
+#: Bounds of the labelled samples: random strings, and characters of the different texts whose words are the
+#: identifiers (expected; a hash of the text chooses, and one at least is read whole).
+RANDOM_STRINGS, SAMPLE_CHARS = 3000, 2_000_000
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 SIZE = len(ALPHABET) + 2  # 0: any other character; the last: the start of a string
 OPEN, CLOSE, OTHER = "\u0001", "\u0002", "\u0003"
@@ -94,10 +97,11 @@ def labelled(spark: SparkSession, texts: DataFrame) -> DataFrame:
     digest = F.sha2(F.col("id").cast("string"), 256)
     base = F.base64(F.unhex(digest))
     random = spark.range(RANDOM_STRINGS).select(F.explode(F.array(digest, base, F.upper(F.regexp_replace(base, F.lit("[^A-Za-z0-9]"), F.lit(""))))).alias("s"))
-    rows = texts.count()
-    share = min(1.0, SAMPLE_DOCUMENTS / max(1, rows))
-    near = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    words = F.slice(F.filter(F.split("text", r"[^A-Za-z0-9]+"), lambda w: (F.length(w) > 1) & (F.length(w) < 16)), 1, WORDS_A_DOCUMENT)
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    chars, least = texts.agg(F.sum(F.length("text").cast("bigint")), F.min(place)).first()
+    last = max(least or 0, int((1 << 30) * min(1.0, SAMPLE_CHARS / max(1, chars or 0))))
+    near = texts.where(place <= last).distinct()
+    words = F.filter(F.split("text", r"[^A-Za-z0-9]+"), lambda w: (F.length(w) > 1) & (F.length(w) < 16))
     glue = F.array(*[F.lit(x) for x in ("_", "-", "/", "", "=")])
     own = near.select(words.alias("w")).where(F.size("w") > 1).select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i"))
     first, second = F.element_at("w", F.col("i")), F.element_at("w", F.col("i") + 1)
@@ -187,36 +191,40 @@ def _outside(run: Column) -> Column:
 # ---- the scan
 
 
-def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
+def scan(docs: DataFrame, model: list[float] | None = None, text: str = "text") -> DataFrame:
     """Adds base and spans to docs(text, ...): array<struct<s, k, e, kind>> by start, then kind.
 
     A null text counts as empty and has no spans. Other columns stay, but for older ones
-    of the names base and spans. Without a model one is trained on the same texts.
+    of the names base and spans. Without a model one is trained on the same texts. An
+    empty table gives none; a text of any length is scanned whole.
     """
-    spark = docs.sparkSession
-    docs = docs.drop("base", "spans", "_text", "_random", *[f"_{k}" for k, _ in PATTERNS])
-    kept = list(docs.columns)
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
-    model = model or train(spark, texts)
-    out = docs.withColumn("_text", _clean(F.coalesce("text", F.lit(""))))
+    own, at = numbered(docs.drop("base", "spans"))
+    value = F.coalesce(at[text], F.lit(""))
+    model = model or train(docs.sparkSession, own.select(value.alias("text")))
+    return _scanned(own, at[text], model).select(*renamed(at), "base", "spans")
+
+
+def _scanned(own: DataFrame, text: str, model: list[float]) -> DataFrame:
+    """Adds base and spans to numbered columns."""
+    kept = own.columns
+    out = own.withColumn("clean", _clean(F.coalesce(text, F.lit(""))))
     for kind, pattern in PATTERNS:
-        out = out.withColumn(f"_{kind}", _marked(F.col("_text"), pattern))
-    out = out.withColumn("_random", _marked(F.col("_text"), RUN))
+        out = out.withColumn(kind, _marked(F.col("clean"), pattern))
+    out = out.withColumn("runs", _marked(F.col("clean"), RUN))
 
     def kinded(spans, k, kind):
         return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), F.lit(kind).alias("kind")))
 
-    own = []
+    found = []
     for k, (kind, pattern) in enumerate(PATTERNS):
-        spans = _spans(F.col(f"_{kind}"))
+        spans = _spans(F.col(kind))
         if kind == "assign":
             spans = F.filter(spans, lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 1)) >= LEAST_VALUE)
-        own.append(kinded(spans, k, kind))
-    out = out.withColumn("base", F.array_sort(F.concat(*own)))
-    out = out.withColumn("_runs", F.flatten(F.transform(_spans(F.col("_random")), _outside)))
-    more = F.flatten(F.transform("_runs", lambda x: _reported(x, model)))
-    out = out.withColumn("spans", F.array_sort(F.concat("base", kinded(more, len(PATTERNS), KIND))))
-    return out.select(*kept, "base", "spans")
+        found.append(kinded(spans, k, kind))
+    out = out.withColumn("base", F.array_sort(F.concat(*found)))
+    out = out.withColumn("rest", F.flatten(F.transform(_spans(F.col("runs")), _outside)))
+    more = F.flatten(F.transform("rest", lambda x: _reported(x, model)))
+    return out.withColumn("spans", F.array_sort(F.concat("base", kinded(more, len(PATTERNS), KIND)))).select(*kept, "base", "spans")
 
 
 def _said(spans: str) -> Column:
@@ -226,7 +234,8 @@ def _said(spans: str) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans of docs(doc_id, text).
 
-    Null texts have no spans; null ids stay null; repeated rows give equal rows.
+    Null texts have no spans; null ids stay null; repeated rows give equal rows; an empty
+    table gives none. A text of any length is scanned whole, in time that grows with it.
     """
     found = scan(docs.select("doc_id", "text"))
     of = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint")
@@ -235,18 +244,26 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each run of overlapping spans in text replaced by a mark, and n_chars set where there is one; a null text stays null."""
-    found = scan(docs)
+    """docs with each run of overlapping spans in text replaced by a mark, and n_chars set where there is one.
+
+    A null text stays null, other columns stay as they are whatever their names, repeated
+    rows stay, and an empty table gives none.
+    """
+    own, at = numbered(docs)
+    model = train(docs.sparkSession, own.select(F.coalesce(at["text"], F.lit("")).alias("text")))
+    found = _scanned(own, at["text"], model)
+    text = F.col(at["text"])
     zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc, x):
         new = x["s"] >= acc["at"]
-        piece = F.concat(F.substring("text", acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
+        piece = F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(new, F.array_append(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    done = found.withColumn("_done", F.when(F.size("spans") > 0, F.aggregate("spans", zero, step)))
-    text = F.when(F.col("_done").isNull(), F.col("text")).otherwise(F.concat(F.array_join("_done.out", ""), F.expr("substring(text, _done.at + 1)")))
-    out = done.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    out = found.withColumn("done", F.when(F.size("spans") > 0, F.aggregate("spans", zero, step)))
+    rest = F.substring(text, F.col("done.at") + 1, F.length(text))
+    out = out.withColumn("left", F.when(F.col("done").isNull(), text).otherwise(F.concat(F.array_join("done.out", ""), rest)))
+    new = {"text": F.col("left")}
+    if "n_chars" in at:
+        new["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    return out.select(renamed(at, **new))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import Scratch, shuffle_width
+from chronoframe.llm.common import Scratch, numbered, renamed, shuffle_width
 from chronoframe.llm.components import Forest, components
 
 BITS, RADIUS, WIDTH, SEED = 64, 3, 3, 42
@@ -265,8 +265,9 @@ def first_of_each(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) ->
     own = scratch.keep(fingerprints(docs.select(key.alias("doc_id"), "text"), width))
     stay = _classes(own, F.col("doc_id"), radius, scratch).select(F.col("least").alias("_key")).distinct()
     stay = scratch.keep(stay.select(F.coalesce(F.col("_key.doc_id").cast("string"), F.lit("")).alias("_id"), F.col("_key.th").alias("_th")))
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    return marked.join(stay, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*[f"`{c}`" for c in docs.columns])
+    numbers, at = numbered(docs)
+    marked = numbers.withColumns({"_id": F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit("")), "_th": F.xxhash64(F.coalesce(at["text"], F.lit("")))})
+    return marked.join(stay, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(renamed(at))
 
 
 # ---- the pipeline's stage: similar shingle sets
@@ -403,11 +404,14 @@ def first_of_similar(docs: DataFrame) -> DataFrame:
     Two texts are similar if they share four fifths of their distinct shingles of five words (a
     shingle is known by its 64-bit hash); a text of fewer words is one shingle, and all without
     words are alike. Sets that similar share one of their first shingles in any order; those that
-    do are candidates, the radius thins them out, and the rest are compared in full.
+    do are candidates, the radius thins them out, and the rest are compared in full. A null text
+    counts as empty and a null id sorts first; of rows that repeat an id and a text one stays. Other
+    columns stay as they are whatever their names; an empty table gives none.
     """
     scratch = Scratch(docs.sparkSession)
-    marked = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    texts = marked.select("_id", "_th", "text")
+    numbers, at = numbered(docs)
+    marked = numbers.withColumns({"_id": F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit("")), "_th": F.xxhash64(F.coalesce(at["text"], F.lit("")))})
+    texts = marked.select("_id", "_th", F.col(at["text"]).alias("text"))
     fields = "_id string, _th bigint, set bigint, fp bigint, n int, prefix array<bigint>"
     own = scratch.keep(texts.mapInArrow(_sketch(_common(texts)), fields))
     places = own.select(F.explode("prefix").alias("token"), "set", "fp", "n")
@@ -420,4 +424,4 @@ def first_of_similar(docs: DataFrame) -> DataFrame:
     roots = similar_sets(shared, sets, scratch)
     rooted = named.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     stay = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least._id", "least._th"))
-    return marked.join(stay, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(*[f"`{c}`" for c in docs.columns])
+    return marked.join(stay, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(renamed(at))

@@ -68,6 +68,22 @@ def test_column_wise_arrays_equal_brute_force(spark, monkeypatch, hot):
     assert Counter(tuple(r) for r in got.collect()) == brute_bytes(rows, 40)
 
 
+@pytest.mark.parametrize("hot", [200, 3])
+def test_removal_keeps_the_first_copy(spark, monkeypatch, hot):
+    monkeypatch.setattr(anchors, "HOT", hot)
+    rows = [(d, t.replace("é", "e")) for d, t in corpus(4)]
+    first: dict = {}
+    for d, t in rows:
+        for i in range(len(t) - 39):
+            first.setdefault(t[i : i + 40], (d, i))
+    want = {}
+    for d, t in rows:
+        gone = {j for i in range(len(t) - 39) if first[t[i : i + 40]] < (d, i) for j in range(i, i + 40)}
+        want[d] = "".join(c for i, c in enumerate(t) if i not in gone)
+    got = column_bwt.remove(spark.createDataFrame(rows, "doc_id bigint, text string"), 40).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want and any(want[d] != t for d, t in rows)
+
+
 @pytest.mark.parametrize("hot", [200, 3])
 def test_suffix_trees_equal_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(anchors, "HOT", hot)

@@ -160,6 +160,50 @@ def test_backoff_uses_shorter_grams_only_where_longer_ones_are_unknown():
     assert m.predict("known knx")[0] == "a" and m.predict("123") == ("und", 0.0)
 
 
+def test_predictions_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = docs.collect()
+    model = langid.fit(docs)
+    seen: dict = {}
+    for lang, text in {(r["lang"], r["text"]) for r in rows if r["lang"] is not None and r["text"] is not None}:
+        for w in langid.words(text):
+            for n, item in [(0, w), *((n, g) for n in langid.GRAMS for g in langid.grams(w, n))]:
+                seen.setdefault((lang, n), Counter())[item] += 1
+    langs = sorted({k[0] for k in seen})
+    known = {n: set().union(*(seen.get((lang, n), ()) for lang in langs)) for n in (0, *langid.GRAMS)}
+    room = {key: sum(c.values()) + len(c) + 1 for key, c in seen.items()}
+    least = {n: max(r for (_, k), r in room.items() if k == n) for n in known}
+
+    def log(lang, n, item):
+        return math.log((seen[lang, n][item] + 1) / room[lang, n]) if seen[lang, n][item] else -math.log(least[n])
+
+    def word(w, lang):
+        if w in known[0]:
+            return log(lang, 0, w)
+        s, at, total, steps = f" {w} ", 0, 0.0, 0
+        while at < len(s):
+            n = next((n for n in langid.GRAMS if s[at : at + n] in known[n] and at + n <= len(s)), None)
+            total += 0 if n is None else log(lang, n, s[at : at + n])
+            at += n or 1
+            steps += 1
+        return total / steps
+
+    assert model.langs == langs
+    for text in ["Anblewh zzqq 中文 x½y", *(r["text"][:400] + " unseenword qxqx" for r in rows[:12] if r["text"])]:
+        total = {lang: sum(word(w, lang) for w in langid.words(text)) for lang in langs}
+        best = max(langs, key=lambda x: total[x])
+        got = model.predict(text)
+        assert got[0] == best and got[1] == pytest.approx(1 / sum(math.exp(x - total[best]) for x in total.values()), rel=1e-6)
+    assert model.predict("½ ² Ⅷ 12")[0] == "und"
+
+
+def test_a_bounded_sample_keeps_every_language(spark):
+    rows = [(i, f"wort{i} und satz{i} " * 30, "de", "s", 1) for i in range(300)] + [(400, "una parola sola", "it", "s", 1)] * 50
+    model = langid.fit(spark.createDataFrame(rows, DOCS), 4000)
+    assert model.langs == ["de", "it"] and 0 < sum(w.startswith("wort") for w in model.index[0]) < 300
+    assert model.predict("parola")[0] == "it"
+
+
 # ---- scoring
 
 
