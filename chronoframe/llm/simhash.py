@@ -281,6 +281,8 @@ SIMILAR_RADIUS, SHORT = 24, 16
 COMMON_SAMPLE, COMMON, COMMON_LEAST = 4000, 20_000, 8
 #: Rounds in which each shared shingle compares its documents with one of them, before all that are still apart are compared.
 STAR_ROUNDS = 6
+#: Tokens of a bucket, and sets that are compared with one other in a task, about.
+BUCKET, PARTNERS = 500_000, 500
 
 
 def shingle_set(text: str, width: int = SIMILAR_WIDTH) -> np.ndarray:
@@ -308,24 +310,80 @@ def _bits_of(u: np.ndarray) -> int:
 
 
 def _sketch(common: dict[int, int]):
-    """Of (_id, _th, text): _id, _th, set (a hash of the shingle set), fp, n and the set's prefix."""
+    """Of (_id, _th, text): _id, _th, set (a hash of the shingle set), fp, n and the set's prefix: packed numbers, and apart the common ones."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 sets = [shingle_set(t or "") for t in part.column(2).to_pylist()]
+                prefixes = [set_prefix(u, common) for u in sets]
+                late = [[x for x in u.tolist() if x in common] for u in prefixes]
                 cols = [
                     pa.array(np.array([xxhash.xxh64_intdigest(u.tobytes(), SEED) for u in sets], np.uint64).view(np.int64)),
                     pa.array(np.array([_bits_of(u) if len(u) else 0 for u in sets], np.uint64).view(np.int64)),
                     pa.array([len(u) for u in sets], pa.int32()),
-                    pa.array([set_prefix(u, common).view(np.int64) for u in sets], pa.list_(pa.int64())),
+                    pa.array([u[: len(u) - len(c)].tobytes() for u, c in zip(prefixes, late)], pa.binary()),
+                    pa.array([np.array(c, np.uint64).view(np.int64) for c in late], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["_id", "_th", "set", "fp", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["_id", "_th", "set", "fp", "n", "prefix", "late"])
 
     return run
 
 
+def _dealt(buckets: int, most: int = 1 << 21):
+    """Of (set, prefix): the different pairs of a token and a set, packed by bucket of the token, about so many at a time."""
+
+    def run(batches):
+        tokens, sets, held = [], [], 0
+
+        def out():
+            pairs = np.unique(np.stack([np.concatenate(tokens), np.concatenate(sets)], axis=1), axis=0)
+            own = (pairs[:, 0] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            pairs, own = pairs[order], own[order]
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            cols = [pa.array(own[cuts[:-1]].astype(np.int32)), *(pa.array([np.ascontiguousarray(pairs[x:y, i]).tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary()) for i in (0, 1))]
+            return pa.RecordBatch.from_arrays(cols, ["bucket", "tokens", "sets"])
+
+        for b in batches:
+            for number, prefix in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if prefix:
+                    tokens.append(np.frombuffer(prefix, np.uint64))
+                    sets.append(np.full(len(tokens[-1]), number & ((1 << BITS) - 1), np.uint64))
+                    held += len(tokens[-1])
+                if held >= most:
+                    yield out()
+                    tokens, sets, held = [], [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def _met(batches):
+    """Of (bucket, tokens, sets) sorted by bucket: (token, set) of the tokens that several sets have."""
+
+    def out(tokens, sets):
+        pairs = np.unique(np.stack([np.concatenate(tokens), np.concatenate(sets)], axis=1), axis=0)
+        same = pairs[1:, 0] == pairs[:-1, 0]
+        found = pairs[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(pairs) else pairs
+        for at in range(0, len(found), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[at : at + 100_000, i]).view(np.int64)) for i in (0, 1)], ["token", "set"])
+
+    bucket, tokens, sets = None, [], []
+    for b in batches:
+        for now, t, s in zip(*(c.to_pylist() for c in b.columns)):
+            if now != bucket and tokens:
+                yield from out(tokens, sets)
+                tokens, sets = [], []
+            bucket = now
+            tokens.append(np.frombuffer(t, np.uint64))
+            sets.append(np.frombuffer(s, np.uint64))
+    if tokens:
+        yield from out(tokens, sets)
+
+
 def _hashes(batches):
     """Of (set, text): set and all its shingle hashes."""
     for b in batches:
@@ -334,6 +392,41 @@ def _hashes(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t or "").view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], ["set", "all"])
 
 
+def _packed_hashes(batches):
+    """Of (set, text): set and the lower six bytes of its shingle hashes, sorted."""
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            part, rows = b.slice(at, 500), []
+            for t in part.column(1).to_pylist():
+                low = np.sort(shingle_set(t or "") & np.uint64((1 << 48) - 1))
+                rows.append(low.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.binary())], ["set", "low"])
+
+
+def _unpacked(low: bytes) -> np.ndarray:
+    out = np.zeros((len(low) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _compare(batches):
+    """Of (u, block, v, low) sorted so that u's own hashes, with a null v, come first: the pairs (u, v) that are similar."""
+    at, own = None, None
+    for b in batches:
+        rows = []
+        for u, block, v, low in zip(*(c.to_pylist() for c in b.columns)):
+            if v is None:
+                at, own = (u, block), _unpacked(low)
+                continue
+            assert at == (u, block)
+            other = _unpacked(low)
+            both = len(own) + len(other) - len(np.union1d(own, other))
+            if both * (SHARE + OF) >= (len(own) + len(other)) * SHARE:
+                rows.append((u, v))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["u", "v"])
+
+
 def _common(texts: DataFrame) -> dict[int, int]:
     """The ranks of the shingles that a bounded sample has most often."""
     rows = texts.count()
@@ -351,16 +444,30 @@ def _may_be_similar(a: str, b: str):
     return (n * OF >= m * SHARE) & (m * OF >= n * SHARE) & (near | (F.least(n, m) < SHORT))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs(u, v) whose shingle sets are as similar as SHARE / OF, compared shingle by shingle."""
-    a, b = sets.select(F.col("set").alias("u"), F.col("all").alias("_a")), sets.select(F.col("set").alias("v"), F.col("all").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    return pairs.join(a, "u").join(b, "v").where(both * (SHARE + OF) >= (F.size("_a") + F.size("_b")) * SHARE).select("u", "v")
+def _similar(pairs: DataFrame, named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Those of pairs(u, v) whose shingle sets are as similar as SHARE / OF, compared shingle by shingle.
 
-
-def similar_sets(shared: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    A set of many pairs is compared in blocks of about PARTNERS, each with its own copy of it.
+    named(set, least): a document of each set; texts(_id, _th, text).
+    """
+    asked = pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set"))).distinct()
+    asked = named.join(asked, "set", "left_semi").select("set", "least._id", "least._th")
+    sets = asked.join(texts, ["_id", "_th"]).dropDuplicates(["set"]).select("set", "text").mapInArrow(_packed_hashes, "set bigint, low binary")
+    sets = scratch.keep(sets)
+    blocks = scratch.keep(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("blocks")))
+    first = blocks.join(sets, F.col("u") == F.col("set")).select("u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("bigint").alias("v"), "low")
+    others = pairs.join(blocks, "u").select("u", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), "v")
+    others = others.join(sets.withColumnRenamed("set", "v"), "v").select("u", "block", "v", "low")
+    order = ["u", "block", F.col("v").asc_nulls_first()]
+    dealt = first.unionByName(others).repartition(shuffle_width(texts.sparkSession), "u", "block").sortWithinPartitions(*order)
+    return dealt.mapInArrow(_compare, "u bigint, v bigint")
+
+
+def similar_sets(shared: DataFrame, named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of the sets that similar pairs connect, of shared(token, set, fp, n): each set's prefix.
 
+    named and texts are those of _similar.
+
     A dense group would have a pair for each two members. So each token first compares its sets
     with one of them, chosen anew each round, and sets that are connected already are not compared
     again. Then all pairs of a token that are still apart are: each has one set outside the token's
@@ -390,7 +497,7 @@ def similar_sets(shared: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFr
             left = apart.groupBy("token").agg(middle).select("token", F.col("m.set").alias("u"), F.col("m.fp").alias("u_fp"), F.col("m.n").alias("u_n"), F.col("m.root").alias("u_root"))
         pairs = left.join(other, "token").where((F.col("u_root") != F.col("v_root")) & _may_be_similar("u_", "v_"))
         pairs = scratch.keep(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        found = scratch.keep(_similar(pairs, sets))
+        found = scratch.keep(_similar(pairs, named, texts, scratch))
         edges = found if edges is None else edges.unionByName(found)
         roots = scratch.keep(components(edges, scratch))
         if last:
@@ -402,7 +509,7 @@ def first_of_similar(docs: DataFrame) -> DataFrame:
     """docs without those that are similar to one that stays, directly or through others: of each component the least (doc_id, hash of the text).
 
     Two texts are similar if they share four fifths of their distinct shingles of five words (a
-    shingle is known by its 64-bit hash); a text of fewer words is one shingle, and all without
+    shingle is known by its 64-bit hash, of which 48 bits are compared); a text of fewer words is one shingle, and all without
     words are alike. Sets that similar share one of their first shingles in any order; those that
     do are candidates, the radius thins them out, and the rest are compared in full. A null text
     counts as empty and a null id sorts first; of rows that repeat an id and a text one stays. Other
@@ -412,16 +519,19 @@ def first_of_similar(docs: DataFrame) -> DataFrame:
     numbers, at = numbered(docs)
     marked = numbers.withColumns({"_id": F.coalesce(F.col(at["doc_id"]).cast("string"), F.lit("")), "_th": F.xxhash64(F.coalesce(at["text"], F.lit("")))})
     texts = marked.select("_id", "_th", F.col(at["text"]).alias("text"))
-    fields = "_id string, _th bigint, set bigint, fp bigint, n int, prefix array<bigint>"
+    fields = "_id string, _th bigint, set bigint, fp bigint, n int, prefix binary, late array<bigint>"
     own = scratch.keep(texts.mapInArrow(_sketch(_common(texts)), fields))
-    places = own.select(F.explode("prefix").alias("token"), "set", "fp", "n")
-    met = places.groupBy("token").agg(F.min("set").alias("a"), F.max("set").alias("b")).where("a != b").select("token")
-    shared = scratch.keep(places.join(met, "token", "left_semi").distinct())
     least = F.min(F.struct(F.col("_id").try_cast("bigint").alias("id"), "_th", "_id"))
-    named = scratch.keep(own.groupBy("set").agg(least.alias("least")))
-    asked = named.join(shared.select("set").distinct(), "set", "left_semi").select("set", "least._id", "least._th")
-    sets = scratch.keep(asked.join(texts, ["_id", "_th"]).dropDuplicates(["set"]).select("set", "text").mapInArrow(_hashes, "set bigint, all array<bigint>"))
-    roots = similar_sets(shared, sets, scratch)
-    rooted = named.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    named = scratch.keep(own.groupBy("set").agg(least.alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n")))
+    width = shuffle_width(docs.sparkSession)
+    size = own.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
+    buckets = max(4 * width, int(size // BUCKET))  # several for each task, so that tasks are even
+    places = own.select("set", "prefix").mapInArrow(_dealt(buckets), "bucket int, tokens binary, sets binary")
+    places = places.repartition(max(width, buckets // 4), "bucket").sortWithinPartitions("bucket").mapInArrow(_met, "token bigint, set bigint")
+    late = own.select(F.explode("late").alias("token"), "set").distinct()
+    shared = scratch.keep(places.unionByName(late).join(named.select("set", "fp", "n"), "set"))
+    scratch.drop(own)
+    roots = similar_sets(shared, named, texts, scratch)
+    rooted = named.select("set", "least").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     stay = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least._id", "least._th"))
     return marked.join(stay, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(renamed(at))
