@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from chronoframe.llm.common import held
+
 #: How text is split before merging. Fixed value.
 SPLIT = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-ſ"
@@ -117,15 +119,9 @@ class Encoder(dict):
         return b"".join([tokens[i] for i in memoryview(packed).cast("I")]).decode("utf-8", "replace")
 
 
-_LOADED: dict = {}
-
-
 def load(source: bytes, kind=Encoder):
     """An encoder for a vocabulary file's bytes, made once in a Python process."""
-    key = kind, hashlib.sha256(source).digest()
-    if key not in _LOADED:
-        _LOADED[key] = kind(source)
-    return _LOADED[key]
+    return held((kind, hashlib.sha256(source).digest()), lambda: kind(source))
 
 
 ROUND_TRIP = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"

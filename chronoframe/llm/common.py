@@ -56,6 +56,17 @@ class Scratch:
             fs.delete(folder, True)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What make() gives: a worker makes it once for a key, and holds only the last key's."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

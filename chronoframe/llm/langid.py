@@ -20,16 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import Scratch, bucket
+from chronoframe.llm.common import Scratch, bucket, held
 
 #: Characters of the different texts that the model is fitted on, all languages together (expected; a hash of
 #: the text chooses, and each language has one text at least). It bounds the model, of which nothing is cut.
-SAMPLE_CHARS = 8_000_000
+SAMPLE_CHARS = 4_000_000
 GRAMS = (5, 4, 3, 2, 1)
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Texts that are scored at a time, and words a worker remembers the backoff of: they change the cost only.
-TEXTS, REMEMBERED, REMEMBERED_CHARS = 200, 100_000, 64
+TEXTS, REMEMBERED, REMEMBERED_CHARS = 200, 50_000, 64
 
 
 def words(text: str) -> list[str]:
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "lang_pred string, score double"])
 
     def run(batches):
-        own = _load(key, sent)
+        own = held(key, lambda: pickle.loads(sent.value))
         for b in batches:
             for at in range(0, b.num_rows, TEXTS):
                 part = b.slice(at, TEXTS)
@@ -207,16 +207,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
 
 
-_LOADED: dict = {}
-
-
-def _load(key: str, sent) -> Model:
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = pickle.loads(sent.value)
-    return _LOADED[key]
-
-
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learned where crc32(doc_id as text) mod 4 is not 2.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm.anchors import mix
-from chronoframe.llm.common import Scratch, numbered, renamed, shuffle_width
+from chronoframe.llm.common import Scratch, held, numbered, renamed, shuffle_width
 from chronoframe.llm.components import Forest, components
 
 BITS, RADIUS, WIDTH, SEED = 64, 3, 3, 42
@@ -288,7 +288,6 @@ STAR_ROUNDS, LITTLE = 6, 20
 BUCKET, PARTNERS = 500_000, 500
 
 
-
 def shingle_set(text: str, width: int = SIMILAR_WIDTH) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles."""
     return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, width)], np.uint64))
@@ -324,6 +323,7 @@ def _sketch(common: dict[int, int]):
     """Of (_id, _th, text): _id, _th, set (a hash of the shingle set), fp, n and the set's prefix: packed numbers, and apart the common ones."""
 
     def run(batches):
+        held(None, dict)  # another stage's model goes
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
@@ -342,19 +342,28 @@ def _sketch(common: dict[int, int]):
     return run
 
 
-def _dealt(buckets: int, most: int = 1 << 21):
+def _distinct(tokens: list[np.ndarray], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of a token and a set, sorted."""
+    t, s = np.concatenate(tokens), np.concatenate(sets)
+    order = np.lexsort((s, t))
+    t, s = t[order], s[order]
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (s[1:] != s[:-1])])
+    return t[new], s[new]
+
+
+def _dealt(buckets: int, most: int = 1 << 19):
     """Of (set, prefix): the different pairs of a token and a set, packed by bucket of the token, about so many at a time."""
 
     def run(batches):
         tokens, sets, held = [], [], 0
 
         def out():
-            pairs = np.unique(np.stack([np.concatenate(tokens), np.concatenate(sets)], axis=1), axis=0)
-            own = (pairs[:, 0] % np.uint64(buckets)).astype(np.int64)
+            t, s = _distinct(tokens, sets)
+            own = (t % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(own, kind="stable")
-            pairs, own = pairs[order], own[order]
+            own, t, s = own[order], t[order], s[order]
             cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-            cols = [pa.array(own[cuts[:-1]].astype(np.int32)), *(pa.array([np.ascontiguousarray(pairs[x:y, i]).tobytes() for x, y in zip(cuts, cuts[1:])], pa.binary()) for i in (0, 1))]
+            cols = [pa.array(own[cuts[:-1]]), *(pa.array([x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary()) for x in (t, s))]
             return pa.RecordBatch.from_arrays(cols, ["bucket", "tokens", "sets"])
 
         for b in batches:
@@ -376,11 +385,12 @@ def _met(batches):
     """Of (bucket, tokens, sets) sorted by bucket: (token, set) of the tokens that several sets have."""
 
     def out(tokens, sets):
-        pairs = np.unique(np.stack([np.concatenate(tokens), np.concatenate(sets)], axis=1), axis=0)
-        same = pairs[1:, 0] == pairs[:-1, 0]
-        found = pairs[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(pairs) else pairs
-        for at in range(0, len(found), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[at : at + 100_000, i]).view(np.int64)) for i in (0, 1)], ["token", "set"])
+        t, s = _distinct(tokens, sets)
+        same = t[1:] == t[:-1]
+        many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        t, s = t[many].view(np.int64), s[many].view(np.int64)
+        for at in range(0, len(t), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (t, s)], ["token", "set"])
 
     bucket, tokens, sets = None, [], []
     for b in batches:

@@ -222,16 +222,72 @@ def test_base_scores_equal_brute_force(spark):
         assert r[5] == pytest.approx(base, rel=1e-9) and math.isfinite(r[6]) and r[6] < 0
 
 
-def test_words_beyond_the_broadcast_ones_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(brown, "KNOWN", 500)
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r["doc_id"]: (r["n_known"], r["base_score"], r["score"], r["n_tokens"], r["held_out"]) for r in brown.score(docs).collect()}
-    monkeypatch.setattr(brown, "KNOWN", 200_000)
-    for r in brown.score(docs).collect():
-        a = got[r["doc_id"]]
-        assert a[0] == r["n_known"] and a[1] == pytest.approx(r["base_score"]) and a[2] == pytest.approx(r["score"])
-    held = [a for a in got.values() if a[4]]
-    assert sum(a[2] for a in held) > sum(a[1] for a in held)  # classes predict better than single words
+def test_scores_equal_brute_force(spark, monkeypatch):
+    """The model's classes are taken from it; all counts and sums are made again from the texts."""
+    monkeypatch.setattr(brown, "KNOWN", 2000)
+    monkeypatch.setattr(brown, "KNOWN_A_SEED", 16)
+    models, fit = [], brown.fit
+    monkeypatch.setattr(brown, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150)
+    rows = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in brown.score(docs).collect()}
+    (m,), words = models, {d: brown.tokens(t) for d, t in rows.items()}
+    held = {d for d in rows if zlib.crc32(str(d).encode()) % 7 == 2}
+    c = Counter(w for d in rows if d not in held for w in words[d])
+    known = sorted((w for w in c if len(w) <= 256), key=lambda w: (-c[w], w))[: len(m.classes) - 2]
+    assert 1000 < len(known) < len(c) and len(set(m.classes.tolist())) == len(m.steps)
+    cls = {w: int(m.classes[i]) for i, w in enumerate(known)}
+    end, open_ = len(m.steps) - 2, len(m.steps) - 1
+    chain = lambda ws: [end, *(cls.get(w, open_) for w in ws), end]
+    steps = Counter(x for d in rows if d not in held for x in zip(chain(words[d]), chain(words[d])[1:]))
+    row, mass, size = Counter(), Counter(), Counter()
+    for (a, _), n in steps.items():
+        row[a] += n
+    for w, n in c.items():
+        mass[cls.get(w, open_)] += n
+        size[cls.get(w, open_)] += 1
+
+    def emitted(w):
+        k = cls.get(w, open_)
+        return (c[w] + 1) / (mass[k] + size[k] + 1) if k == open_ else (c[w] + 0.1) / (mass[k] + 0.1 * size[k])
+
+    k = len(m.steps)
+    for d, ws in words.items():
+        path = chain(ws)
+        want = sum(math.log10((steps[a, b] + 0.1) / (row[a] + 0.1 * k)) for a, b in zip(path, path[1:])) + sum(math.log10(emitted(w)) for w in ws)
+        assert got[d]["score"] == pytest.approx(want) and got[d]["held_out"] == (d in held)
+        assert got[d]["n_known"] == 1 + sum(c[w] > 0 for w in ws)
+    assert sum(got[d]["score"] for d in held) > sum(got[d]["base_score"] for d in held)  # classes predict better than single words
+    assert np.allclose((10.0**m.step).sum(axis=1), 1)
+    for x in set(m.classes[:-2].tolist()) - {open_}:
+        assert sum(emitted(w) for w in known if cls[w] == x) == pytest.approx(1)
+
+
+def test_words_beside_seeds_go_to_the_class_that_gains_most():
+    r = np.random.default_rng(4)
+    table = r.integers(0, 40, (5, 5)).astype(float)
+    word, side, cls, count = [], [], [], []
+    for w in range(30):
+        for s in (0, 1):
+            for c in range(5):
+                if (n := r.integers(0, 6)) > 2:
+                    for x, y in zip((word, side, cls, count), (w, s, c, n)):
+                        x.append(y)
+    word, side, cls, count = map(np.array, (word, side, cls, count))
+    got = dict(zip(*(x.tolist() for x in brown.best_classes(word, side, cls, count.astype(float), table))))
+
+    def likelihood(t):
+        f = lambda x: (x[x > 0] * np.log(x[x > 0])).sum()
+        return f(t) - f(t.sum(axis=0)) - f(t.sum(axis=1))
+
+    for w in set(word.tolist()):
+        values = []
+        for to in range(4):
+            t = table.copy()
+            for s, c, n in zip(side[word == w], cls[word == w], count[word == w]):
+                t[(to, c) if s == 0 else (c, to)] += n
+            values.append(likelihood(t))
+        assert values[got[w]] == pytest.approx(max(values))
 
 
 def test_exchange_raises_the_likelihood():
@@ -265,14 +321,14 @@ def test_each_round_of_exchange_moves_up():
             assert likelihood(other) <= best + 1e-6
 
 
-def test_probabilities_of_classes_sum_to_one(spark):
-    from chronoframe.llm.common import Scratch
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
-    model, _ = brown.fit(docs, Scratch(spark))
-    assert np.allclose((10.0**model.step).sum(axis=1), 1)
-
-
 def test_nothing_to_learn_from(spark):
     got = brown.score(spark.createDataFrame([], DOCS)).count()
     assert got == 0
+    rows = [r for r in EDGES if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 == 2] or [(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "a b", "en", "s", 3)]
+    for r in brown.score(spark.createDataFrame(rows, DOCS)).collect():
+        assert r["held_out"] and r["n_known"] == r["train_tokens"] == 0 and math.isfinite(r["score"])
+
+
+def test_ids_with_spaces(spark):
+    df = spark.createDataFrame([("a b 1", "x y"), ("", "z"), (None, "x")], "doc_id string, text string")
+    assert Counter(r["doc_id"] for r in brown.score(df).collect()) == Counter(["a b 1", "", None])
