@@ -285,7 +285,7 @@ COMMON_SAMPLE, COMMON, COMMON_LEAST = 4000, 20_000, 8
 #: that is at once if there are less than so many pairs for each place of a shared shingle.
 STAR_ROUNDS, LITTLE = 6, 20
 #: Tokens of a bucket, and sets that are compared with one other in a task, about.
-BUCKET, PARTNERS = 500_000, 500
+BUCKET, PARTNERS = 500_000, 100
 
 
 def shingle_set(text: str, width: int = SIMILAR_WIDTH) -> np.ndarray:
@@ -475,6 +475,11 @@ def _similar(pairs: DataFrame, named: DataFrame, texts: DataFrame, scratch: Scra
     return dealt.mapInArrow(_compare, "u bigint, v bigint")
 
 
+def _rooted(named: DataFrame, roots: DataFrame) -> DataFrame:
+    """named with the root of each set, which is itself where roots(node, root) has none."""
+    return named.select("set", "least").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+
+
 def similar_sets(shared: DataFrame, named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of the sets that similar pairs connect, of shared(token, set, fp, n): each set's prefix.
 
@@ -490,7 +495,7 @@ def similar_sets(shared: DataFrame, named: DataFrame, texts: DataFrame, scratch:
         if roots is None:
             now = shared.withColumn("root", F.col("set"))
         else:
-            now = scratch.keep(shared.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))
+            now = scratch.keep(shared.join(scratch.keep(_rooted(named, roots).select("set", "root")), "set"))
         cells = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
         tokens = cells.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.sum("c").alias("all"), F.max("c").alias("most"))
         tokens = scratch.keep(tokens.where("all > most"))
@@ -544,6 +549,5 @@ def first_of_similar(docs: DataFrame) -> DataFrame:
     shared = scratch.keep(places.unionByName(late).join(named.select("set", "fp", "n"), "set"))
     scratch.drop(own)
     roots = similar_sets(shared, named, texts, scratch)
-    rooted = named.select("set", "least").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    stay = scratch.keep(rooted.groupBy("root").agg(F.min("least").alias("least")).select("least._id", "least._th"))
+    stay = scratch.keep(_rooted(named, roots).groupBy("root").agg(F.min("least").alias("least")).select("least._id", "least._th"))
     return marked.join(stay, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select(renamed(at))
