@@ -93,3 +93,76 @@ def majority(n: Column) -> Column:
 
 def middle(n: Column) -> Column:
     return F.floor(n / 2).cast("bigint")
+
+
+#: The reversed polynomial of CRC-32C; the seed, offset and factors of the key hash. Fixed values.
+CASTAGNOLI = 0x82F63B78
+HASH_SEED, HASH_OFFSET, HASH_PRIME = 0x9E3779B97F4A7C15, 14695981039346656037, 1099511628211
+MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))
+PROBES, BITS_A_KEY = 7, 10
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (CASTAGNOLI if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+def crc32c(data: Column) -> Column:
+    """CRC-32C of a binary column, byte by byte through a table; 0 of no bytes."""
+    table = F.array(*[F.lit(x).cast("bigint") for x in _crc_table()])
+    byte = lambda i: F.conv(F.hex(F.substring(data, i, 1)), 16, 10).cast("bigint")
+    step = lambda c, i: F.shiftright(c, 8).bitwiseXOR(F.element_at(table, (c.bitwiseXOR(byte(i)).bitwiseAND(F.lit(255)) + 1).cast("int")))
+    ones = F.lit(0xFFFFFFFF).cast("bigint")
+    done = F.aggregate(F.sequence(F.lit(1), F.length(data)), ones, step, lambda c: c.bitwiseXOR(ones))
+    return F.when(F.length(data) > 0, done).when(data.isNotNull(), F.lit(0).cast("bigint"))
+
+
+def key_hashes(keys):
+    """(first, delta) as unsigned numbers of some byte strings: probe i of a key stands at first + i * delta.
+
+    All strings take one step a byte together; numbers wrap at 64 bits.
+    """
+    import numpy as np
+
+    size = np.array([len(k) for k in keys], np.int64)
+    value = np.full(len(keys), HASH_OFFSET ^ HASH_SEED, np.uint64)
+    flat, start = np.frombuffer(b"".join(keys), np.uint8), np.cumsum(size) - size
+    for i in range(int(size.max(initial=0))):
+        own = np.flatnonzero(size > i)
+        value[own] = (value[own] ^ flat[start[own] + i]) * np.uint64(HASH_PRIME)
+    mixed = value + np.uint64(HASH_SEED)
+    for shift, factor in MIX:
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    return value, mixed | np.uint64(1)
+
+
+def hash_of_key(key: Column) -> Column:
+    """struct<first, delta>, both as decimal text, of a string column, in Arrow batches."""
+
+    def of(keys):
+        import pandas as pd
+
+        first, delta = key_hashes([k.encode() for k in keys])
+        return pd.DataFrame({"first": first.astype(str), "delta": delta.astype(str)})
+
+    of.__annotations__ = {}
+    return F.pandas_udf(of, "first string, delta string", F.PandasUDFType.SCALAR)(key)
+
+
+def probe_bits(key: Column, bits: int) -> Column:
+    """The places of a string column's probes in a bitmap of so many bits, in Arrow batches."""
+
+    def of(keys):
+        import numpy as np
+        import pandas as pd
+
+        first, delta = key_hashes([k.encode() for k in keys])
+        at = (first[:, None] + np.arange(PROBES, dtype=np.uint64) * delta[:, None]) % np.uint64(bits)
+        return pd.Series(list(at.astype(np.int64)))
+
+    of.__annotations__ = {}
+    return F.pandas_udf(of, "array<bigint>", F.PandasUDFType.SCALAR)(key)

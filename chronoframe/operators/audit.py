@@ -6,19 +6,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def digest(df: DataFrame, order: list[str], parts: list[Column], by: list[str] | None = None, width: int = 256) -> DataFrame:
-    """SHA-256 of the rows in order, as two levels: of each bucket of keys, then of the buckets.
+#: Rows that a leaf of a digest holds, about, at most.
+LEAF = 4096
 
-    A bucket holds about 1/width of the keys, so that no task and no row ever holds the
-    whole state; the order of rows within a bucket is that of the given columns.
+
+def digest(df: DataFrame, order: list[str], parts: list[Column], by: list[str] | None = None) -> DataFrame:
+    """SHA-256 of the rows in order, as a tree: of each bucket of keys, then of 256 buckets at a time.
+
+    Buckets are told by the first digits of the key's MD5, two for each level; there are as
+    many levels, one at least, as leave no more than LEAF rows to a bucket on average, so
+    that no task and no row ever holds much of the state. The order of rows within a bucket
+    is that of the given columns.
     """
-    by = by or []
+    by, width, rows = by or [], 2, df.count()
+    while rows > LEAF * 16**width:
+        width += 2
     line = F.concat_ws(":", *[F.concat_ws("=", F.length(p.cast("string")).cast("string"), p.cast("string")) for p in parts])
-    bucket = F.substring(F.md5(F.col(order[0]).cast("string").cast("binary")), 1, 2)
-    rows = df.select(*by, bucket.alias("bucket"), F.struct(*order, line.alias("line")).alias("row"))
-    inner = rows.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("c"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["line"]), "|").cast("binary"), 256).alias("d"))
-    outer = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda r: F.concat(r["bucket"], r["d"])), "|").cast("binary"), 256)
-    return inner.groupBy(*by).agg(F.sum("c").alias("entries"), outer.alias("digest"))
+    bucket = F.substring(F.md5(F.col(order[0]).cast("string").cast("binary")), 1, width)
+    leaves = df.select(*by, bucket.alias("bucket"), F.struct(*order, line.alias("line")).alias("row"))
+    sha = lambda lines: F.sha2(F.array_join(lines, "|").cast("binary"), 256)
+    level = leaves.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("c"), sha(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["line"])).alias("d"))
+    said = sha(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda r: F.concat(r["bucket"], r["d"])))
+    for left in range(width - 2, 0, -2):
+        level = level.groupBy(*by, F.substring("bucket", 1, left).alias("above")).agg(F.sum("c").alias("c"), said.alias("d")).withColumnRenamed("above", "bucket")
+    return level.groupBy(*by).agg(F.sum("c").alias("entries"), said.alias("digest"))
 
 
 def differences(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

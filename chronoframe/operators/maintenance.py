@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoframe.functions.scalars import BITS_A_KEY, PROBES, probe_bits
+
 
 class Conflict(RuntimeError):
     """Two different batches claim one index."""
@@ -148,17 +150,15 @@ def fold_edits(edits: DataFrame) -> DataFrame:
     return edits.groupBy("file_number").agg(F.max_by("added", "seq").alias("live")).where("live").select("file_number")
 
 
-def bloom_keys(versions: DataFrame, probes: DataFrame, bits_a_key: int = 10, hashes: int = 7) -> DataFrame:
+def bloom_keys(versions: DataFrame, probes: DataFrame) -> DataFrame:
     """Which of probes(k) may be among the keys: a bitmap of set positions by hash, joined on position.
 
-    The bitmap has ten bits for each distinct key of all versions. Positions are kept as rows, so
-    that the filter is as large as the data and not broadcast.
+    The bitmap has ten bits for each distinct key of all versions, in whole bytes and 64 at least, and seven
+    probes a key. Positions are kept as rows, so that the filter is as large as the data and
+    not broadcast.
     """
     keys = versions.select("k").distinct()
-    bits = max(1, bits_a_key * keys.count())
-
-    def at(df):
-        return df.select("k", F.explode(F.transform(F.sequence(F.lit(1), F.lit(hashes)), lambda i: F.pmod(F.xxhash64(i, F.col("k")), F.lit(bits)))).alias("bit"))
-
+    bits = max(64, -(-BITS_A_KEY * keys.count() // 8) * 8)
+    at = lambda df: df.select("k", F.explode(probe_bits(F.col("k"), bits)).alias("bit"))
     set_ = at(keys).select("bit").distinct().withColumn("is_set", F.lit(1))
-    return at(probes.distinct()).join(set_, "bit", "left").groupBy("k").agg((F.count("is_set") == hashes).alias("may_contain"))
+    return at(probes.distinct()).join(set_, "bit", "left").groupBy("k").agg((F.count("is_set") == PROBES).alias("may_contain"))

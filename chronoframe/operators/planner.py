@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,25 +185,21 @@ def ordered(candidates: DataFrame) -> DataFrame:
 def select_actions(candidates: DataFrame, policy: Policy) -> DataFrame:
     """The first candidates in order of place, no range or node twice, each with the least improvement.
 
-    Each choice rules out later ones, so this is a fold over candidates, whose number a
-    cluster's size bounds. One action needs no fold.
+    Each choice rules out later ones, so there is a round for each action, of which the
+    policy allows few: the first candidate that is left, by a sort that keeps one row a
+    task. A node 0 is none.
     """
-    good = candidates.where(F.col("improvement") >= policy.min_improvement)
-    if policy.max_actions == 1:
-        return good.orderBy("place").limit(1)
-    schema = good.schema
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ranges, nodes, kept = set(), set(), []
-        for i, row in pdf.sort_values("place").iterrows():
-            own = {x for x in (row["source"], row["target"]) if not pd.isna(x) and x}
-            if len(kept) < policy.max_actions and row["range_id"] not in ranges and not own & nodes:
-                ranges.add(row["range_id"])
-                nodes |= own
-                kept.append(i)
-        return pdf.loc[kept]
-
-    return good.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(lambda pdf: fold(pdf).drop(columns="_one"), schema)
+    left, chosen = candidates.where(F.col("improvement") >= policy.min_improvement), []
+    for _ in range(policy.max_actions):
+        best = left.orderBy("place").limit(1).collect()
+        if not best:
+            break
+        chosen += best
+        nodes = [x for x in (best[0]["source"], best[0]["target"]) if x]
+        left = left.where(F.col("range_id") != best[0]["range_id"])
+        for end in ("source", "target") if nodes else ():
+            left = left.where(~F.coalesce(F.col(end).isin(nodes), F.lit(False)))
+    return candidates.sparkSession.createDataFrame(chosen, candidates.schema)
 
 
 def noop_reason(ranges: DataFrame, policy: Policy) -> DataFrame:

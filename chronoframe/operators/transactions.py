@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.scalars import ABORT, DELETE, INTENT, VALUE
 from chronoframe.operators.visibility import select_as_of, span
+from chronoframe.sources.shared import keep
 
 PENDING, COMMITTED, ABORTED = 1, 2, 3
 
@@ -68,8 +68,17 @@ def resolve(writes: DataFrame, decided: DataFrame) -> DataFrame:
     return joined.select("k", F.col("commit_ts").alias("ts"), kind.alias("kind"), F.when(kind == VALUE, F.col("value")).alias("value"), "txn_id")
 
 
-def recover(txns: DataFrame, most: int = 4096) -> DataFrame:
-    """Pending records are aborted in the next epoch."""
+class TooLarge(RuntimeError):
+    """More records than one recovery takes."""
+
+
+def recover(txns: DataFrame, most: int | None = 4096) -> DataFrame:
+    """Pending records are aborted in the next epoch.
+
+    A recovery of more records than the most is refused as a whole; None lifts the bound.
+    """
+    if most is not None and txns.limit(most + 1).count() > most:
+        raise TooLarge(f"more than {most} records")
     pending = F.col("status") == PENDING
     return txns.withColumns({"epoch": F.when(pending, F.col("epoch") + 1).otherwise(F.col("epoch")), "status": F.when(pending, ABORTED).otherwise(F.col("status"))})
 
@@ -80,28 +89,28 @@ def close(txns: DataFrame) -> DataFrame:
     return txns.select("txn_id", outcome.alias("outcome"), F.when(F.col("status") == PENDING, ABORTED).otherwise(F.col("status")).alias("status"))
 
 
-def first_committer_wins(writes: DataFrame, group: list[str]) -> DataFrame:
-    """Commits of writes(group..., txn_id, read_ts, commit_ts, k) in order of commit, decided one after another.
+def first_committer_wins(writes: DataFrame) -> DataFrame:
+    """txn_id and committed of writes(txn_id, read_ts, commit_ts, k), in order of commit, ties by id.
 
-    A transaction aborts if a key that it writes has a version after its read time from
-    one that committed before it. The chain is sequential within a group of keys that are
-    written together, so groups are folded in parallel and each on its own.
+    A transaction aborts if a key that it writes has a version after its read time from one
+    that committed before it. Whole transactions are decided, in rounds: on each key the
+    greatest commit time of earlier committed writers, and of earlier undecided ones, are
+    running maxima. One is refused if the former is after its read time on any key, waits
+    if the latter is, and else commits; the earliest undecided one can always be decided.
+    Rounds are as many as the longest chain of conflicts, and each is kept as a table.
     """
-    names = [*group, "txn_id", "committed"]
-    schema = ", ".join([*(f"`{g}` {writes.schema[g].dataType.simpleString()}" for g in group), "txn_id bigint, committed boolean"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        newest: dict = {}
-        rows = []
-        for (commit, txn), own in pdf.sort_values(["commit_ts", "txn_id", "k"]).groupby(["commit_ts", "txn_id"], sort=True):
-            read = own["read_ts"].iloc[0]
-            ok = all(newest.get(k, -1) <= read for k in own["k"])
-            if ok:
-                newest.update(dict.fromkeys(own["k"], commit))
-            rows.append((*(own[g].iloc[0] for g in group), txn, ok))
-        return pd.DataFrame(rows, columns=names)
-
-    return writes.groupBy(*group).applyInPandas(fold, schema)
+    order = Window.partitionBy("k").orderBy("commit_ts", "txn_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = keep(writes.select("txn_id", "read_ts", "commit_ts", "k").distinct())
+    states = rows.select("txn_id").distinct().withColumn("state", F.lit(PENDING))
+    while True:
+        now = rows.join(states, "txn_id")
+        last = lambda state: F.max(F.when(F.col("state") == state, F.col("commit_ts"))).over(order)
+        seen = now.select("txn_id", "state", "read_ts", last(COMMITTED).alias("done"), last(PENDING).alias("open"))
+        after = lambda c: F.coalesce(F.bool_or(F.col(c) > F.col("read_ts")), F.lit(False))
+        new = F.when(F.col("state") != PENDING, F.col("state")).when(F.col("refused"), ABORTED).when(F.col("waits"), PENDING).otherwise(COMMITTED)
+        states = keep(seen.groupBy("txn_id", "state").agg(after("done").alias("refused"), after("open").alias("waits")).select("txn_id", new.alias("state")))
+        if states.where(F.col("state") == PENDING).isEmpty():
+            return states.select("txn_id", (F.col("state") == COMMITTED).alias("committed"))
 
 
 def status_of(ids: DataFrame, active: DataFrame, archived: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ always applied below the windows: above them it would change the answer.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.scalars import ABORT, DELETE, INTENT, VALUE
+from chronoframe.sources.shared import keep
 
 
 class IntentFound(RuntimeError):
@@ -133,3 +134,17 @@ def candidate(versions: DataFrame, key, target: int) -> DataFrame:
 
 def live_kinds() -> tuple[int, int]:
     return DELETE, VALUE
+
+
+def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with their rank from 1 in an order of all of them.
+
+    Rows are dealt to ranges of the order and kept as a table; a rank is a place within a
+    range and the sizes of the ranges before, of which there is one row a range.
+    """
+    kept = keep(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = kept.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("_range", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return kept.join(F.broadcast(offsets), "_range").withColumn("rank", place + F.col("_before")).drop("_range", "_before")

@@ -12,7 +12,7 @@ from chronoframe.plans.registry import query
 
 
 def _digest(table: str, order: str, parts: list[str], by: str | None = None) -> str:
-    """DuckDB SQL of the two-level digest of a table: first column of the order is the key."""
+    """DuckDB SQL of the digest of a table of a million rows at most, whose tree has one level: first column of the order is the key."""
     line = " || ':' || ".join(f"length(CAST({p} AS VARCHAR)) || '=' || CAST({p} AS VARCHAR)" for p in parts)
     g, gb = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
     return f""", inner_ AS (SELECT {g}substr(md5(k), 1, 2) AS bucket, count(*) AS c, sha256(string_agg({line}, '|' ORDER BY {order})) AS d FROM {table} GROUP BY {g}bucket)
@@ -108,9 +108,10 @@ def a3(f):
     return log.groupBy("idx").agg(F.countDistinct(F.concat_ws("/", "term", k)).alias("contents"), F.count(F.lit(1)).alias("copies")).where("contents > 1")
 
 
-@query("a3_leaders_by_term", "SELECT term, count(DISTINCT k) AS leaders, count(DISTINCT k) > 1 AS violated FROM log WHERE idx % 499 = 1 GROUP BY term")
+# a leader's first entry of a term is an empty one: the node that wrote it is its key
+@query("a3_leaders_by_term", "SELECT term, count(DISTINCT k) AS leaders, count(DISTINCT k) > 1 AS violated FROM log WHERE entry_type = 1 GROUP BY term")
 def a3b(f):
-    return f.log().where("idx % 499 = 1").groupBy("term").agg(F.countDistinct("k").alias("leaders")).withColumn("violated", F.col("leaders") > 1)
+    return f.log().where("entry_type = 1").groupBy("term").agg(F.countDistinct("k").alias("leaders")).withColumn("violated", F.col("leaders") > 1)
 
 
 _FACTS = ", facts AS (SELECT 'node/' || node_id || '/leaders' AS field, CAST(leaders AS VARCHAR) AS value FROM node_metrics UNION ALL SELECT 'node/' || node_id || '/replicas', CAST(hosted_replicas AS VARCHAR) FROM node_metrics)"
@@ -121,19 +122,19 @@ def _facts(f):
     return f.node_metrics().select("node_id", pairs).select(F.concat(F.lit("node/"), F.col("node_id").cast("string"), F.lit("/"), F.col("name")).alias("field"), "value")
 
 
-@query("a4_grounding", _FACTS + """, said AS (SELECT event_id % 50 AS id, CASE WHEN event_id % 3 = 0 THEN 'node/' || user_id % 25 || '/leaders' ELSE 'node/' || user_id % 40 || '/replicas' END AS field, CAST(event_id % 6 AS VARCHAR) AS value FROM ev WHERE event_id < 600),
+@query("a4_grounding", _FACTS + """, said AS (SELECT event_id // 20 AS id, CASE WHEN event_id % 3 = 0 THEN 'node/' || user_id % 25 || '/leaders' ELSE 'node/' || user_id % 40 || '/replicas' END AS field, CAST(event_id % 6 AS VARCHAR) AS value FROM ev),
 x AS (SELECT id, field, count(*) AS n, min(value) AS value FROM said GROUP BY ALL) SELECT id, field, CASE WHEN n > 1 THEN 'duplicate' WHEN f.value IS NULL THEN 'unknown field' WHEN f.value <> x.value THEN 'wrong value' ELSE 'ok' END AS verdict FROM x LEFT JOIN facts f USING (field)""")
 def a4(f):
     e, u = F.col("event_id"), F.col("user_id")
     field = F.when(e % 3 == 0, F.concat(F.lit("node/"), (u % 25).cast("string"), F.lit("/leaders"))).otherwise(F.concat(F.lit("node/"), (u % 40).cast("string"), F.lit("/replicas")))
-    said = f.events().where("event_id < 600").select((e % 50).alias("id"), field.alias("field"), (e % 6).cast("string").alias("value"))
+    said = f.events().select(F.expr("event_id div 20").alias("id"), field.alias("field"), (e % 6).cast("string").alias("value"))
     return A.grounded(said, _facts(f))
 
 
-@query("a5_approval", ", advice AS (SELECT event_id AS id, user_id % 40 + 1 AS range_id, event_id % 4 AS generation, event_id % 3 = 0 AS planned FROM ev WHERE event_id < 400) SELECT id, CASE WHEN generation <> range_id % 3 + 1 THEN 'stale' WHEN NOT planned THEN 'planner disagrees' ELSE 'approved' END AS outcome FROM advice")
+@query("a5_approval", ", advice AS (SELECT event_id AS id, user_id % 40 + 1 AS range_id, event_id % 4 AS generation, event_id % 3 = 0 AS planned FROM ev) SELECT id, CASE WHEN generation <> range_id % 3 + 1 THEN 'stale' WHEN NOT planned THEN 'planner disagrees' ELSE 'approved' END AS outcome FROM advice")
 def a5(f):
     e, r = F.col("event_id"), F.col("user_id") % 40 + 1
-    advice = f.events().where("event_id < 400").select(e.alias("id"), r.alias("range_id"), (e % 4).alias("generation"), (e % 3 == 0).alias("planned"))
+    advice = f.events().select(e.alias("id"), r.alias("range_id"), (e % 4).alias("generation"), (e % 3 == 0).alias("planned"))
     ranges = f.spark.range(1, 41).select(F.col("id").alias("range_id"), (F.col("id") % 3 + 1).alias("now"))
     joined = advice.join(ranges, "range_id")
     return joined.select("id", F.when(F.col("generation") != F.col("now"), "stale").when(~F.col("planned"), "planner disagrees").otherwise("approved").alias("outcome"))

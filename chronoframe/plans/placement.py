@@ -156,14 +156,27 @@ def p12(f):
     return P.ordered(_moves(f)).select("range_id", "source", "target", "place")
 
 
-@query("p13_select_one", _PLACED + "SELECT range_id, source, target, place FROM placed WHERE improvement >= 1 ORDER BY place LIMIT 1")
+_OFFERED = """, cand AS (SELECT user_id % 40 + 1 AS range_id, event_id % 7 + 1 AS source, event_id % 11 + 1 AS target, 2 AS kind,
+  CAST(sum(event_id % 13 + 1) AS BIGINT) AS cost, CAST(sum(user_id % 17) AS BIGINT) AS improvement FROM ev WHERE event_id % 7 <> event_id % 11 GROUP BY ALL)""" + _PLACED[len(_MOVES):]
+_NEXT = ", c{i} AS (SELECT * FROM c{j} WHERE range_id NOT IN (SELECT range_id FROM b{j}) AND source NOT IN (SELECT unnest([source, target]) FROM b{j}) AND target NOT IN (SELECT unnest([source, target]) FROM b{j})), b{i} AS (SELECT * FROM c{i} ORDER BY place LIMIT 1)"
+_CHOSEN = _OFFERED + ", c1 AS (SELECT * FROM placed WHERE improvement >= 1), b1 AS (SELECT * FROM c1 ORDER BY place LIMIT 1)"
+
+
+def _offered(f):
+    """Moves between eleven nodes that all events offer."""
+    e, u = F.col("event_id"), F.col("user_id")
+    rows = f.events().where(e % 7 != e % 11).groupBy((u % 40 + 1).alias("range_id"), (e % 7 + 1).alias("source"), (e % 11 + 1).alias("target"))
+    return P.ordered(rows.agg(F.lit(2).alias("kind"), F.sum(e % 13 + 1).alias("cost"), F.sum(u % 17).alias("improvement")).withColumn("split_key", F.lit("")))
+
+
+@query("p13_select_one", _CHOSEN + " SELECT range_id, source, target, place FROM b1")
 def p13(f):
-    return P.select_actions(P.ordered(_moves(f)), POLICY).select("range_id", "source", "target", "place")
+    return P.select_actions(_offered(f), POLICY).select("range_id", "source", "target", "place")
 
 
-@query("p13_select_three")
+@query("p13_select_three", _CHOSEN + _NEXT.format(i=2, j=1) + _NEXT.format(i=3, j=2) + " SELECT range_id, source, target, place FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3)")
 def p13b(f):
-    return P.select_actions(P.ordered(_moves(f)), P.Policy(max_actions=3)).select("range_id", "source", "target", "place")
+    return P.select_actions(_offered(f), P.Policy(max_actions=3)).select("range_id", "source", "target", "place")
 
 
 @query("p14_noop_reason", _RANGES + "SELECT CASE WHEN bool_or(splitting OR migrating) THEN 'OPERATION_IN_PROGRESS' WHEN bool_or(samples < 3) THEN 'INSUFFICIENT_SAMPLES' WHEN bool_or(unsplittable) THEN 'HOT_UNSPLITTABLE_KEYSPACE' WHEN bool_or(cooled) THEN 'COOLDOWN' WHEN bool_or(no_target) THEN 'NO_ELIGIBLE_TARGET' ELSE 'BALANCED' END AS reason FROM ranges WHERE active")

@@ -44,15 +44,7 @@ def s3(f):
 
 @query("s4_table_iterator", f"SELECT k, ts, kind, value, row_number() OVER (ORDER BY k, ts DESC, kind) AS rank FROM versions WHERE k >= '{LOW}' AND k < '{HIGH}'")
 def s4(f):
-    from pyspark.sql import Window
-
-    rows = V.span(f.versions(), LOW, HIGH)
-    # the rank shows the order; it is counted within a key and added up over the keys before
-    within = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("ts"), "kind"))
-    before = rows.groupBy("k").count()
-    smaller = before.select(F.col("k").alias("j"), F.col("count").alias("c"))
-    offset = before.join(smaller, F.col("j") < F.col("k"), "left").groupBy("k").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("offset"))
-    return rows.withColumn("r", within).join(offset, "k").select("k", "ts", "kind", "value", (F.col("r") + F.col("offset")).alias("rank"))
+    return V.ranked(V.span(f.versions(), LOW, HIGH), [F.col("k"), F.desc("ts"), F.col("kind")]).select("k", "ts", "kind", "value", "rank")
 
 
 @query("s5_seek", f"SELECT k, ts, kind, value FROM versions WHERE k > '{KEY}' OR (k = '{KEY}' AND (ts < {T} OR (ts = {T} AND kind >= 1))) ORDER BY k, ts DESC, kind LIMIT 1")
@@ -219,11 +211,23 @@ def f10(f):
     return f.spark.range(32).select(n.alias("n"), S.majority(n).alias("majority"), S.middle(n).alias("middle"))
 
 
-@query("f7_key_hash")
+#: The key hash in DuckDB: one step a character, then the mix; all numbers wrap at 64 bits.
+KEY_HASH = f""", steps AS (SELECT k, 0 AS i, xor({S.HASH_OFFSET}::UBIGINT, {S.HASH_SEED}::UBIGINT) AS v FROM @KEYS
+  UNION ALL SELECT k, i + 1, CAST(CAST(xor(v, CAST(ascii(substr(k, i + 1, 1)) AS UBIGINT)) AS UHUGEINT) * {S.HASH_PRIME} % 18446744073709551616::UHUGEINT AS UBIGINT) FROM steps WHERE i < length(k)),
+m0 AS (SELECT k, v, CAST((CAST(v AS UHUGEINT) + {S.HASH_SEED}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS m FROM steps WHERE i = length(k)),
+""" + ", ".join(f"m{i + 1} AS (SELECT k, v, CAST(CAST(xor(m, m >> {shift}) AS UHUGEINT) * {factor}::UHUGEINT % 18446744073709551616::UHUGEINT AS UBIGINT) AS m FROM m{i})" for i, (shift, factor) in enumerate(S.MIX)) + """,
+hashed AS (SELECT k, v AS first, m | 1::UBIGINT AS delta FROM m3)"""  # noqa: E501
+
+
+@query("f7_key_hash", KEY_HASH.replace("@KEYS", "(SELECT DISTINCT k FROM versions)") + " SELECT k, CAST(first AS VARCHAR) AS first, CAST(delta AS VARCHAR) AS delta FROM hashed")
 def f7(f):
-    return f.versions().select("k", F.xxhash64("k").alias("h")).distinct()
+    return f.versions().select("k").distinct().select("k", S.hash_of_key(F.col("k")).alias("h")).select("k", "h.first", "h.delta")
 
 
-@query("f8_checksum", "SELECT event_id, length(k) AS n FROM ev")
+@query("f8_checksum", f""", bits AS (SELECT CAST(i AS BIGINT) AS x, CAST(i AS BIGINT) AS v, 0 AS step FROM range(0, 256) r(i)
+  UNION ALL SELECT x, CASE WHEN v & 1 = 1 THEN xor(v >> 1, {S.CASTAGNOLI}::BIGINT) ELSE v >> 1 END, step + 1 FROM bits WHERE step < 8),
+steps AS (SELECT k, 0 AS i, 4294967295::BIGINT AS c FROM (SELECT DISTINCT k FROM versions)
+  UNION ALL SELECT k, i + 1, xor(c >> 8, b.v) FROM steps JOIN (SELECT x, v FROM bits WHERE step = 8) b ON b.x = xor(c, ascii(substr(k, i + 1, 1))::BIGINT) & 255 WHERE i < length(k))
+SELECT k, xor(c, 4294967295::BIGINT) AS checksum FROM steps WHERE i = length(k)""")
 def f8(f):
-    return f.events().where(F.crc32(F.col("k").cast("binary")).isNotNull()).select("event_id", F.length("k").cast("bigint").alias("n"))
+    return f.versions().select("k").distinct().select("k", S.crc32c(F.col("k").cast("binary")).alias("checksum"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from chronoframe.functions import scalars as S
 from chronoframe.operators import catalog as C
 from chronoframe.operators import maintenance as M
-from chronoframe.plans.reads import _REPORT, T, as_of
+from chronoframe.plans.reads import _REPORT, KEY_HASH, T, as_of
 from chronoframe.plans.registry import query
 from chronoframe.sources.shared import folder
 
@@ -127,7 +128,14 @@ def m5(f):
     return M.prune_span(f.file_stats(), "000070", "000080").groupBy("level").agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("m6_bloom")
+_BLOOM = KEY_HASH.replace("@KEYS", "(SELECT DISTINCT k FROM versions UNION SELECT lpad(CAST(i AS VARCHAR), 6, '0') FROM nn, range(0, 4 * n) r(i))") + f""",
+size AS (SELECT greatest(64, (count(DISTINCT k) * {S.BITS_A_KEY} + 7) // 8 * 8) AS bits FROM versions),
+spots AS (SELECT k, CAST((CAST(first AS UHUGEINT) + CAST(p AS UHUGEINT) * CAST(delta AS UHUGEINT)) % 18446744073709551616::UHUGEINT AS UBIGINT) % CAST(bits AS UBIGINT) AS spot FROM hashed, size, range(0, {S.PROBES}) r(p)),
+filled AS (SELECT DISTINCT spot FROM spots WHERE k IN (SELECT k FROM versions))
+SELECT k, bool_and(spot IN (SELECT spot FROM filled)) AS may_contain FROM spots WHERE CAST(k AS BIGINT) < 4 * (SELECT n FROM nn) GROUP BY k"""
+
+
+@query("m6_bloom", _BLOOM)
 def m6(f):
     probes = f.spark.range(0, 4 * f.n).select(f.key(F.col("id")).alias("k"))
     return M.bloom_keys(f.versions(), probes)

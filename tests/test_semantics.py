@@ -77,7 +77,7 @@ def test_overlay(spark):
 
 def test_write_skew_commits_and_write_write_conflict_aborts(spark):
     rows = [(1, 0, 5, "a", "g"), (2, 0, 6, "b", "g"), (3, 0, 7, "a", "g")]
-    got = X.first_committer_wins(spark.createDataFrame(rows, "txn_id bigint, read_ts bigint, commit_ts bigint, k string, g string"), ["g"])
+    got = X.first_committer_wins(spark.createDataFrame(rows, "txn_id bigint, read_ts bigint, commit_ts bigint, k string, g string"))
     assert {r["txn_id"]: r["committed"] for r in got.collect()} == {1: True, 2: True, 3: False}
 
 
@@ -134,3 +134,79 @@ def test_bloom_grows_with_the_keys(spark):
         got = {r["k"]: r["may_contain"] for r in M.bloom_keys(keys, probes).collect()}
         assert all(got[f"k{i}"] for i in range(200, 400)) and sum(got[f"a{i}"] for i in range(200)) <= 12
     assert not any(r["may_contain"] for r in M.bloom_keys(keys.limit(0), probes).collect())
+
+
+def first_committer_model(rows):
+    """Transactions one after another by commit time, then id."""
+    newest, out = {}, {}
+    for commit, txn, read, keys in sorted((c, t, r, k) for t, (r, c, k) in rows.items()):
+        out[txn] = all(newest.get(k, -1) <= read for k in keys)
+        if out[txn]:
+            newest.update(dict.fromkeys(keys, commit))
+    return out
+
+
+@pytest.mark.parametrize("seed", [601, 602])
+def test_first_committer_wins_equals_model(spark, seed):
+    r = random.Random(seed)
+    rows = {t: ((at := r.randrange(200)), at + r.randrange(1, 12), r.sample(range(9), r.randrange(1, 4))) for t in range(120)}
+    df = spark.createDataFrame([(t, a, b, f"{k}") for t, (a, b, keys) in rows.items() for k in keys], "txn_id bigint, read_ts bigint, commit_ts bigint, k string")
+    want = first_committer_model(rows)
+    assert {x["txn_id"]: x["committed"] for x in X.first_committer_wins(df).collect()} == want and 10 < sum(want.values()) < 110
+    assert X.first_committer_wins(df.limit(0)).count() == 0
+
+
+def test_recovery_refuses_more_records_than_its_bound(spark):
+    txns = spark.createDataFrame([(i, i % 3 + 1, 1) for i in range(9)], "txn_id bigint, status int, epoch bigint")
+    assert {(x["txn_id"], x["status"], x["epoch"]) for x in X.recover(txns, 9).collect()} == {(i, 3 if i % 3 == 0 else i % 3 + 1, 1 + (i % 3 == 0)) for i in range(9)}
+    with pytest.raises(X.TooLarge):
+        X.recover(txns, 8)
+
+
+def test_checksums_and_key_hashes(spark):
+    from chronoframe.functions import scalars as S
+
+    known = [(b"123456789", 0xE3069283), (b"", 0), (bytes(32), 0x8A9136AA), (None, None)]  # published values
+    df = spark.createDataFrame([(k,) for k, _ in known], "k binary").select("k", S.crc32c(F.col("k")).alias("c"))
+    assert [x["c"] for x in df.collect()] == [c for _, c in known]
+    keys = [b"", b"a", b"foobar", b"000123"]
+    want = []
+    for k in keys:
+        v = 14695981039346656037 ^ 0x9E3779B97F4A7C15
+        for b in k:
+            v = (v ^ b) * 1099511628211 % 2**64
+        m = (v + 0x9E3779B97F4A7C15) % 2**64
+        m = (m ^ m >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        m = (m ^ m >> 27) * 0x94D049BB133111EB % 2**64
+        want.append((v, (m ^ m >> 31) | 1))
+    assert list(zip(*(x.tolist() for x in S.key_hashes(keys)))) == want
+
+
+def test_bloom_holds_every_key_and_few_others(spark):
+    keys = spark.range(2000).select(F.col("id").cast("string").alias("k"))
+    got = M.bloom_keys(keys, spark.range(12000).select(F.col("id").cast("string").alias("k"))).collect()
+    assert all(x["may_contain"] for x in got if int(x["k"]) < 2000)
+    assert 0 < sum(x["may_contain"] for x in got if int(x["k"]) >= 2000) < 0.02 * 10000
+
+
+def test_digest_of_more_levels_is_told_apart(spark, monkeypatch):
+    from chronoframe.operators import audit as A
+
+    df = spark.range(3000).select(F.col("id").cast("string").alias("k"), "id")
+    said = lambda d: [tuple(x) for x in A.digest(d, ["k"], [F.col("k"), F.col("id")]).collect()]
+    monkeypatch.setattr(A, "LEAF", 1)  # two levels
+    assert said(df) == said(df.repartition(7)) and said(df)[0][0] == 3000
+    assert said(df) != said(df.withColumn("id", F.when(F.col("id") == 5, 6).otherwise(F.col("id"))))
+
+
+def test_ranks_over_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), (F.col("id") % 3).alias("y"))
+    got = V.ranked(df, [F.col("x"), F.desc("y")]).collect()
+    assert sorted((r["x"], r["rank"]) for r in got) == [(i, i + 1) for i in range(1000)]
+
+
+def test_selection_of_several_actions(spark):
+    rows = [(1, 5, 7, 9, 1), (2, 7, 8, 8, 2), (1, 1, 2, 7, 3), (3, 1, 2, 6, 4), (4, 0, 0, 5, 5), (5, 0, 9, 0, 6), (6, 3, 4, 3, 7)]
+    df = spark.createDataFrame(rows, "range_id bigint, source bigint, target bigint, improvement bigint, place bigint")
+    pick = lambda n: [x["place"] for x in P.select_actions(df, P.Policy(max_actions=n)).orderBy("place").collect()]
+    assert pick(1) == [1] and pick(3) == [1, 4, 5] and pick(9) == [1, 4, 5, 7]
