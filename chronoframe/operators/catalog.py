@@ -13,7 +13,7 @@ def route(keys: DataFrame, catalog: DataFrame, key: str = "k") -> DataFrame:
     """Adds range_id and generation of the range that holds each key; keys in no range are left out.
 
     A catalog has at most 4,096 ranges, so its sorted bounds are a literal array: a key's
-    place among them is found within the scan, without a join or shuffle.
+    place among them is found within the scan by halving, without a join or shuffle.
     """
     rows = catalog.select("range_id", "generation", "start_key", "end_key").orderBy(F.col("start_key").asc_nulls_first()).limit(MAX_RANGES + 1).collect()
     if len(rows) > MAX_RANGES:
@@ -22,12 +22,25 @@ def route(keys: DataFrame, catalog: DataFrame, key: str = "k") -> DataFrame:
         return keys.withColumns({"range_id": F.lit(None).cast("bigint"), "generation": F.lit(None).cast("bigint")}).where("false")
     starts = F.array(*[F.lit(r["start_key"] or "") for r in rows])
     entry = F.array(*[F.struct(F.lit(r["range_id"]).alias("range_id"), F.lit(r["generation"]).alias("generation"), F.lit(r["end_key"]).cast("string").alias("end_key"), F.lit(r["start_key"]).cast("string").alias("start_key")) for r in rows])
-    place = F.size(F.filter(starts, lambda s: s <= F.col(key)))
+    place = _halved(starts, len(rows), F.col(key))
     found = keys.withColumn("_at", F.try_element_at(entry, F.nullif(place, F.lit(0))))
     inside = (F.col("_at.end_key").isNull() | (F.col(key) < F.col("_at.end_key"))) & F.col("_at.range_id").isNotNull()
     return found.where(inside).withColumns({"range_id": F.col("_at.range_id"), "generation": F.col("_at.generation")}).drop("_at")
 
 
+def _halved(starts: Column, n: int, key: Column) -> Column:
+    """How many of n sorted starts are not after the key: each step halves where that may be."""
+    zero = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
+
+    def step(acc, _):
+        at = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        before = F.try_element_at(starts, at + 1) <= key
+        open_ = acc["lo"] < acc["hi"]
+        return F.struct(F.when(open_ & before, at + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~before, at).otherwise(acc["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n.bit_length())), zero, step, lambda acc: acc["lo"])
+
+
 def intersect(catalog: DataFrame, start: str | None, end: str | None) -> DataFrame:
     """Parts of a span within each range: range_id, lo, hi; null is open."""
     lo = F.greatest(F.col("start_key"), F.lit(start).cast("string"))

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from chronoframe.functions.scalars import add_sat, mul_div
 
+#: The most nodes of a cluster.
+MAX_NODES = 1024
+
 SCALE = 1_000_000
 
 
@@ -154,18 +157,52 @@ def move_targets(ranges: DataFrame, replicas: DataFrame, nodes: DataFrame, polic
 
 
 def projected(candidates: DataFrame, nodes: DataFrame, policy: Policy, leader_only: bool = False) -> DataFrame:
-    """range_id, source, target and the potential after each candidate, with clamped subtraction at the source."""
-    keys = ["range_id", "source", "target"]
-    metrics = [m for m, _ in policy.node_weights]
-    c = candidates.select(*keys, F.col("leader").alias("_leader"), *[F.col(m).alias(f"_{m}") for m in metrics if m not in ("leaders", "hosted_replicas")])
-    j = c.join(nodes.select("node_id", *metrics))
-    leads = F.lit(1) if leader_only else (F.col("_leader") == F.col("source")).cast("bigint")
-    delta = {m: F.lit(0).cast("bigint") if leader_only else F.col(f"_{m}") for m in metrics if m not in ("leaders", "hosted_replicas")}
+    """range_id, source, target and the potential after each candidate, with clamped subtraction at the source.
+
+    A move changes two nodes, so two terms of the sums of scores and of their squares are
+    replaced. Only where the subtraction is clamped a total changes, and with it every score:
+    those candidates are scored against all nodes, of which there are at most MAX_NODES.
+    """
+    keys, metrics = ["range_id", "source", "target"], [m for m, _ in policy.node_weights]
+    rows = score(nodes, policy).select("node_id", "score", *metrics).limit(MAX_NODES + 1).collect()
+    if len(rows) > MAX_NODES:
+        raise ValueError(f"a cluster has at most {MAX_NODES} nodes")
+    n, total = len(rows), {m: sum(r[m] for r in rows) for m in metrics}
+    leads = F.lit(1) if leader_only else (F.col("leader") == F.col("source")).cast("bigint")
+    delta = {m: F.lit(0).cast("bigint") if leader_only else F.col(m) for m in metrics if m not in ("leaders", "hosted_replicas")}
     delta |= {"leaders": leads, "hosted_replicas": F.lit(0 if leader_only else 1)}
-    at = F.col("node_id")
-    moved = {m: F.when(at == F.col("source"), F.greatest(F.col(m) - delta[m], F.lit(0))).when(at == F.col("target"), F.col(m) + delta[m]).otherwise(F.col(m)) for m in metrics}
-    after = j.select(*keys, "node_id", *[x.alias(m) for m, x in moved.items()])
-    return potential(score(after, policy, keys), keys)
+    c = candidates.select(*keys, *[x.cast("bigint").alias(f"_{m}") for m, x in delta.items()])
+    schema = ", ".join(f"{x} bigint" for x in ("node_id", "score", *metrics))
+    known = candidates.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+    ends = [known.select(F.col("node_id").alias(end), F.struct("score", *metrics).alias(f"_{end}")) for end in ("source", "target")]
+    both = c.join(ends[0], "source").join(ends[1], "target")
+    less = {m: F.greatest(F.col(f"_source.{m}") - F.col(f"_{m}"), F.lit(0)) for m in metrics}
+    more = {m: F.col(f"_target.{m}") + F.col(f"_{m}") for m in metrics}
+    clamped = F.lit(False)
+    for m in metrics:
+        clamped = clamped | (F.col(f"_source.{m}") < F.col(f"_{m}"))
+    both = both.withColumn("_clamped", clamped)
+
+    def scored(values):
+        out = F.lit(0)
+        for m, weight in policy.node_weights:
+            out = out + _weighted(values[m], F.lit(total[m]).cast("bigint"), F.lit(n).cast("bigint"), weight)
+        return out.cast("decimal(38,0)")
+
+    whole = lambda x: F.lit(x).cast("decimal(38,0)")
+    was, now = [F.col(f"_{end}.score").cast("decimal(38,0)") for end in ("source", "target")], ["_less", "_more"]
+    near = both.where(~F.col("_clamped")).withColumns({"_less": scored(less), "_more": scored(more)})
+    sums = whole(sum(r["score"] for r in rows)) - was[0] - was[1] + F.col(now[0]) + F.col(now[1])
+    squares = whole(sum(r["score"] ** 2 for r in rows)) - was[0] * was[0] - was[1] * was[1] + F.col(now[0]) * F.col(now[0]) + F.col(now[1]) * F.col(now[1])
+    near = near.select(*keys, sums.cast("decimal(38,0)").alias("_sum"), squares.cast("decimal(38,0)").alias("_squares"))
+    near = near.withColumn("_mean", F.floor((F.col("_sum") - F.col("_sum") % n) / n).cast("decimal(19,0)"))
+    value = F.col("_squares") - F.col("_mean") * F.col("_sum") * 2 + F.col("_mean") * F.col("_mean") * n
+    near = near.select(*keys, value.cast("bigint").alias("potential"))
+    every = F.array(*[F.struct(*[F.lit(r[x]).cast("bigint").alias(x) for x in ("node_id", *metrics)]) for r in rows]) if rows else F.expr("cast(array() as array<struct<node_id:bigint>>)")
+    far = both.where("_clamped").withColumn("_node", F.explode(every)).withColumn("_at", F.col("_node.node_id"))
+    own = {m: F.when(F.col("_at") == F.col("source"), less[m]).when(F.col("_at") == F.col("target"), more[m]).otherwise(F.col(f"_node.{m}")) for m in metrics}
+    far = far.select(*keys, F.col("_at").alias("node_id"), *[x.alias(m) for m, x in own.items()])
+    return near.unionByName(potential(score(far, policy, keys), keys))
 
 
 def ordered(candidates: DataFrame) -> DataFrame:
