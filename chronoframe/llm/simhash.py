@@ -491,6 +491,7 @@ def similar_sets(shared: DataFrame, named: DataFrame, texts: DataFrame, scratch:
     largest component.
     """
     edges = roots = before = None
+    common = scratch.keep(shared.groupBy("set").agg((F.count(F.lit(1)) / F.max("n")).alias("common")))
     for k in range(STAR_ROUNDS + 1):
         if roots is None:
             now = shared.withColumn("root", F.col("set"))
@@ -509,8 +510,8 @@ def similar_sets(shared: DataFrame, named: DataFrame, texts: DataFrame, scratch:
         if last:
             left = apart.where("root != big").select("token", F.col("set").alias("u"), F.col("fp").alias("u_fp"), F.col("n").alias("u_n"), F.col("root").alias("u_root"))
         else:
-            middle = F.min_by(F.struct("set", "fp", "n", "root"), F.xxhash64(F.lit(k), "token", "set")).alias("m")
-            left = apart.groupBy("token").agg(middle).select("token", F.col("m.set").alias("u"), F.col("m.fp").alias("u_fp"), F.col("m.n").alias("u_n"), F.col("m.root").alias("u_root"))
+            middle = F.max_by(F.struct("set", "fp", "n", "root"), F.struct("common", F.xxhash64(F.lit(k), "set")) if k % 2 == 0 else F.struct(F.xxhash64(F.lit(k), "set"))).alias("m")
+            left = apart.join(common, "set").groupBy("token").agg(middle).select("token", F.col("m.set").alias("u"), F.col("m.fp").alias("u_fp"), F.col("m.n").alias("u_n"), F.col("m.root").alias("u_root"))
         pairs = left.join(other, "token").where((F.col("u_root") != F.col("v_root")) & _may_be_similar("u_", "v_"))
         pairs = scratch.keep(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         found = scratch.keep(_similar(pairs, named, texts, scratch))
