@@ -100,10 +100,8 @@ class Model:
         own = np.repeat(np.arange(len(ids)), size)
         return own, np.arange(len(own)) + np.repeat(self.start[ids] - np.cumsum(size) + size, size)
 
-    def backoff(self, w: str) -> np.ndarray:
-        """Sum over the longest known n-grams that cover the word, then as one word's worth."""
-        if (got := self.known.get(w)) is not None:
-            return got
+    def pieces(self, w: str) -> tuple[list[int], int]:
+        """Rows of the longest known n-grams that cover a word, and the steps that takes."""
         s, at, ids, steps = f" {w} ", 0, [], 0
         while at < len(s):
             for n in GRAMS:
@@ -115,18 +113,23 @@ class Model:
             else:
                 at += 1  # no language knows the character
             steps += 1
-        _, place = self.entries(np.array(ids, np.int64))
-        got = np.bincount(self.lang[place], self.above[place], len(self.langs)) / steps
-        if len(w) <= REMEMBERED_CHARS:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[w] = got
-        return got
+        return ids, steps
+
+    def backoff(self, words: list[str]) -> None:
+        """Remembers the scores of unseen words: the sum over their pieces, then as one word's worth."""
+        cut = [self.pieces(w) for w in words]
+        rows = np.array([i for ids, _ in cut for i in ids], np.int64)
+        of = np.repeat(np.arange(len(cut)), [len(ids) for ids, _ in cut])
+        own, place = self.entries(rows)
+        size = len(self.langs)
+        total = np.bincount(of[own] * size + self.lang[place], self.above[place], len(cut) * size).reshape(-1, size)
+        self.known.update(zip(words, total / np.array([steps for _, steps in cut])[:, None]))
 
     def word(self, w: str) -> np.ndarray:
         """Scores of a word by language."""
         if (row := self.index[0].get(w)) is None:
-            return self.backoff(w)
+            self.backoff([w])
+            return self.known[w]
         _, place = self.entries(np.array([row]))
         return np.bincount(self.lang[place], self.above[place], len(self.langs))
 
@@ -140,6 +143,8 @@ class Model:
             return [(UNKNOWN, 0.0)] * len(texts)
         total = np.zeros((len(texts), size))
         seen, rows, times, of, unseen, others, other_of = [], [], [], [], [], [], []
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         get = self.index[0].get
         for i, text in enumerate(texts):
             found = Counter(words(text or ""))
@@ -150,7 +155,7 @@ class Model:
                     times.append(c)
                     of.append(i)
                 else:
-                    unseen.append(self.backoff(w))
+                    unseen.append(w)
                     others.append(c)
                     other_of.append(i)
         if rows:
@@ -158,7 +163,11 @@ class Model:
             own, place = self.entries(np.array(rows))
             total += np.bincount(of[own] * size + self.lang[place], times[own] * self.above[place], total.size).reshape(total.shape)
         if unseen:
-            np.add.at(total, np.array(other_of), np.array(unseen) * np.array(others, np.float64)[:, None])
+            self.backoff(list({w for w in unseen if w not in self.known}))
+            vectors = np.array([self.known[w] for w in unseen])
+            np.add.at(total, np.array(other_of), vectors * np.array(others, np.float64)[:, None])
+            for w in {w for w in unseen if len(w) > REMEMBERED_CHARS}:
+                del self.known[w]
         best = total.argmax(axis=1)
         score = 1 / np.exp(np.maximum(total - total.max(axis=1, keepdims=True), -700.0)).sum(axis=1)
         return [(self.langs[b], x) if ok else (UNKNOWN, 0.0) for ok, b, x in zip(seen, best.tolist(), score.tolist())]
