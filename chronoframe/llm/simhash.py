@@ -286,6 +286,9 @@ COMMON_SAMPLE, COMMON, COMMON_LEAST = 4000, 20_000, 8
 STAR_ROUNDS, LITTLE = 6, 20
 #: Tokens of a bucket, and sets that are compared with one other in a task, about.
 BUCKET, PARTNERS = 500_000, 100
+#: A token of so many sets that are still apart is dense; each set of a dense token gets so many homes among them. Those of a
+#: home meet in blocks of about so many sets or hashes.
+DENSE, HOMES, HOME_BLOCK, HOME_SIZE = 64, 4, 256, 1 << 20
 
 
 def shingle_set(text: str, width: int = SIMILAR_WIDTH) -> np.ndarray:
@@ -457,16 +460,113 @@ def _may_be_similar(a: str, b: str):
     return (n * OF >= m * SHARE) & (m * OF >= n * SHARE) & (near | (F.least(n, m) < SHORT))
 
 
+def _lows(sets: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
+    """set and low (see _packed_hashes) of sets(set), for named(set, least), a document of each, and texts(_id, _th, text)."""
+    asked = named.join(sets.distinct(), "set", "left_semi").select("set", "least._id", "least._th")
+    return asked.join(texts, ["_id", "_th"]).dropDuplicates(["set"]).select("set", "text").mapInArrow(_packed_hashes, "set bigint, low binary")
+
+
+def _shared_counts(lows: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each two of several sorted sets of different hashes share."""
+    hashes, at, often = np.unique(np.concatenate(lows), return_inverse=True, return_counts=True)
+    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[at]
+    row = np.repeat(np.arange(len(lows)), [len(x) for x in lows])
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(lows), len(lows)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, z = np.searchsorted(column, (start, start + 4096))
+        x = np.zeros((len(lows), 4096), np.float32)
+        x[row[a:z], column[a:z] - start] = 1
+        out += (x @ x.T).astype(np.int64)
+    return out
+
+
+def _meet(home: int, within: bool, rows: list[tuple], forest: Forest) -> None:
+    """Joins what is similar among the rows (block, set, n, root, fp, homes, low) of a home: within a block or between two.
+
+    Left out are pairs that are connected already and those that have an earlier home in common, where they meet.
+    """
+    block, sets, n, root = (np.array(x, np.int64) for x in list(zip(*rows))[:4])
+    fp = np.array([r[4] for r in rows], np.int64).view(np.uint64)
+    may = root[:, None] != root[None]
+    may &= np.tri(len(rows), k=-1, dtype=bool) if within else block[:, None] < block[None]
+    may &= (n[:, None] * OF >= n[None] * SHARE) & (n[None] * OF >= n[:, None] * SHARE)
+    apart = sum(np.bitwise_count(fp[:, k, None] ^ fp[None, :, k]).astype(np.int16) for k in range(len(LIMBS)))
+    may &= (apart <= SIMILAR_RADIUS) | (np.minimum(n[:, None], n[None]) < SHORT)
+    for h in {x for r in rows for x in r[5] if x < home}:
+        has = np.array([h in r[5] for r in rows])
+        may &= ~(has[:, None] & has[None])
+    left, right = np.nonzero(may)
+    if not len(left):
+        return
+    lows = [np.frombuffer(r[6], np.uint32) for r in rows]
+    size = np.array([len(x) for x in lows])
+    if len(left) > len(rows):
+        both = _shared_counts(lows)[left, right]
+    else:
+        both = np.array([len(np.intersect1d(lows[i], lows[j], assume_unique=True)) for i, j in zip(left.tolist(), right.tolist())])
+    alike = both * OF >= (size[left] + size[right] - both) * SHARE
+    for i, j in zip(left[alike].tolist(), right[alike].tolist()):
+        forest.join(int(sets[i]), int(sets[j]))
+
+
+def _meetings(batches):
+    """Of (home, b1, b2, block, set, n, root, fp, homes, low) sorted by the first three: edges that span what is similar."""
+    forest, at, rows = Forest(), None, []
+    for b in batches:
+        cols = [c.to_pylist() for c in b.columns]
+        for home, b1, b2, *row in zip(*cols):
+            if at != (home, b1, b2):
+                if len(rows) > 1:
+                    _meet(at[0], at[1] == at[2], rows, forest)
+                at, rows = (home, b1, b2), []
+            rows.append(tuple(row))
+    if len(rows) > 1:
+        _meet(at[0], at[1] == at[2], rows, forest)
+    out = forest.edges()
+    for start in range(0, len(out), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[start : start + 50_000])], ["u", "v"])
+
+
+def _homes(now: DataFrame, dense: DataFrame) -> DataFrame:
+    """(set, fp, n, root, homes) of the sets of dense(token, all): different tokens, drawn by hashes, the larger ones sooner.
+
+    The draw is the same for all, so that sets with many tokens in common are likely to have a home in common.
+    """
+    draw = lambda k: -F.log((F.pmod(F.xxhash64(F.lit(k), "token"), F.lit(1 << 30)) + 1) / float(1 << 30)) / F.col("all")
+    first = [F.min_by("token", F.struct(draw(k), F.col("token"))).alias(f"h{k}") for k in range(HOMES)]
+    own = now.join(dense.select("token", "all"), "token").groupBy("set").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("root").alias("root"), *first)
+    return own.select("set", "fp", "n", "root", F.array_distinct(F.array(*[f"h{k}" for k in range(HOMES)])).alias("homes"))
+
+
+def _similar_at_home(homes: DataFrame, named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges that span the similar sets among those with a home in common, of what _homes gives.
+
+    Blocks of a home are compared with each other in as many tasks, so that no pair is ever a row:
+    a set has a row for each block of each of its homes.
+    """
+    places = homes.select("set", "n", "root", F.explode("homes").alias("home"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / HOME_BLOCK), F.ceil(F.sum("n") / HOME_SIZE)).cast("int").alias("blocks")
+    groups = places.groupBy("home").agg(blocks, (F.min("root") != F.max("root")).alias("open")).where("open").select("home", "blocks")
+    dealt = places.select("set", "home").join(scratch.keep(groups), "home").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("home", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "set")
+    full = scratch.keep(homes.select("set", "n", "root", F.array(*[F.col("fp")[x] for x in LIMBS]).alias("fp"), "homes").join(_lows(homes.select("set"), named, texts), "set"))
+    group = ["home", "b1", "b2"]
+    dealt = dealt.join(full, "set").select(*group, "block", "set", "n", "root", "fp", "homes", "low")
+    return dealt.repartition(shuffle_width(texts.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(_meetings, "u bigint, v bigint")
+
+
 def _similar(pairs: DataFrame, named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Those of pairs(u, v) whose shingle sets are as similar as SHARE / OF, compared shingle by shingle.
 
     A set of many pairs is compared in blocks of about PARTNERS, each with its own copy of it.
     named(set, least): a document of each set; texts(_id, _th, text).
     """
-    asked = pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set"))).distinct()
-    asked = named.join(asked, "set", "left_semi").select("set", "least._id", "least._th")
-    sets = asked.join(texts, ["_id", "_th"]).dropDuplicates(["set"]).select("set", "text").mapInArrow(_packed_hashes, "set bigint, low binary")
-    sets = scratch.keep(sets)
+    asked = pairs.select(F.col("u").alias("set")).unionByName(pairs.select(F.col("v").alias("set")))
+    sets = scratch.keep(_lows(asked, named, texts))
     blocks = scratch.keep(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("blocks")))
     first = blocks.join(sets, F.col("u") == F.col("set")).select("u", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("bigint").alias("v"), "low")
     others = pairs.join(blocks, "u").select("u", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), "v")
@@ -487,36 +587,51 @@ def similar_sets(shared: DataFrame, named: DataFrame, texts: DataFrame, scratch:
 
     A dense group would have a pair for each two members. So each token first compares its sets
     with one of them, chosen anew each round, and sets that are connected already are not compared
-    again. Then all pairs of a token that are still apart are: each has one set outside the token's
-    largest component.
+    again. Then the sets of dense tokens meet at their homes, within tasks. Then all pairs of a token
+    that are still apart and have no home in common are compared: each has one set outside the
+    token's largest component.
     """
-    edges = roots = before = None
+    edges = roots = before = homes = None
     common = scratch.keep(shared.groupBy("set").agg((F.count(F.lit(1)) / F.max("n")).alias("common")))
-    for k in range(STAR_ROUNDS + 1):
+
+    def grouped():
+        """shared with roots, and the tokens whose sets are apart."""
         if roots is None:
             now = shared.withColumn("root", F.col("set"))
         else:
             now = scratch.keep(shared.join(scratch.keep(_rooted(named, roots).select("set", "root")), "set"))
         cells = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
         tokens = cells.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.sum("c").alias("all"), F.max("c").alias("most"))
-        tokens = scratch.keep(tokens.where("all > most"))
+        return now, scratch.keep(tokens.where("all > most"))
+
+    def connect(found):
+        nonlocal edges, roots
+        edges = found if edges is None else edges.unionByName(found)
+        roots = scratch.keep(components(edges, scratch))
+
+    for k in range(STAR_ROUNDS + 1):
+        now, tokens = grouped()
         work = tokens.agg(F.sum(F.col("all") * (F.col("all") - F.col("most"))), F.sum("all")).first()
         if not work[0]:
             break
         last = k == STAR_ROUNDS or work[0] <= LITTLE * work[1] or (before is not None and work[0] > 0.8 * before)
         before = work[0]
+        if last and not (dense := tokens.where(F.col("all") >= DENSE)).isEmpty():
+            homes = scratch.keep(_homes(now, dense))
+            connect(scratch.keep(_similar_at_home(homes, named, texts, scratch)))
+            now, tokens = grouped()
+        now = now.withColumn("homes", F.lit(None).cast("array<bigint>")) if homes is None else now.join(homes.select("set", "homes"), "set", "left")
         apart = now.join(tokens.select("token", "big"), "token")
-        other = apart.select("token", F.col("set").alias("v"), F.col("fp").alias("v_fp"), F.col("n").alias("v_n"), F.col("root").alias("v_root"))
+        side = lambda x: [F.col("set").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("fp", "n", "root", "homes")]]
         if last:
-            left = apart.where("root != big").select("token", F.col("set").alias("u"), F.col("fp").alias("u_fp"), F.col("n").alias("u_n"), F.col("root").alias("u_root"))
+            left = apart.where("root != big").select("token", *side("u"))
         else:
-            middle = F.max_by(F.struct("set", "fp", "n", "root"), F.struct("common", F.xxhash64(F.lit(k), "set")) if k % 2 == 0 else F.struct(F.xxhash64(F.lit(k), "set"))).alias("m")
-            left = apart.join(common, "set").groupBy("token").agg(middle).select("token", F.col("m.set").alias("u"), F.col("m.fp").alias("u_fp"), F.col("m.n").alias("u_n"), F.col("m.root").alias("u_root"))
-        pairs = left.join(other, "token").where((F.col("u_root") != F.col("v_root")) & _may_be_similar("u_", "v_"))
+            middle = F.max_by(F.struct("set", "fp", "n", "root", "homes"), F.struct("common", F.xxhash64(F.lit(k), "set")) if k % 2 == 0 else F.struct(F.xxhash64(F.lit(k), "set"))).alias("m")
+            left = apart.join(common, "set").groupBy("token").agg(middle).select("token", "m.*").select("token", *side("u"))
+        new = (F.col("u_root") != F.col("v_root")) & ~F.coalesce(F.arrays_overlap("u_homes", "v_homes"), F.lit(False))
+        pairs = left.join(apart.select("token", *side("v")), "token").where(new & _may_be_similar("u_", "v_"))
         pairs = scratch.keep(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        found = scratch.keep(_similar(pairs, named, texts, scratch))
-        edges = found if edges is None else edges.unionByName(found)
-        roots = scratch.keep(components(edges, scratch))
+        connect(scratch.keep(_similar(pairs, named, texts, scratch)))
         if last:
             break
     return shared.select(F.col("set").alias("node"), F.col("set").alias("root")).limit(0) if roots is None else roots

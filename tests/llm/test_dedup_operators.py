@@ -201,7 +201,26 @@ def test_similar_texts_equal_brute_force(spark, monkeypatch):
     want = {i for i, root in components(range(len(rows)), edges).items() if i == root}
     assert {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
     monkeypatch.setattr(simhash, "STAR_ROUNDS", 0)
-    assert {x["doc_id"] for x in simhash.first_of_similar(docs).collect()} == want
+    for dense, block in ((10**6, 256), (2, 256), (2, 16), (20, 8)):
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        monkeypatch.setattr(simhash, "HOME_BLOCK", block)
+        assert {x["doc_id"] for x in simhash.first_of_similar(docs).collect()} == want
+
+
+def test_shared_counts_and_meetings():
+    r = np.random.default_rng(4)
+    lows = [np.unique(r.integers(0, 9000, r.integers(1, 8000), dtype=np.uint32)) for _ in range(12)]
+    got = simhash._shared_counts(lows)
+    assert all(got[i, j] == len(np.intersect1d(lows[i], lows[j])) for i in range(12) for j in range(i))
+    row = lambda block, k, root, homes, low: (block, k, len(low), root, [0] * 4, homes, low.tobytes())
+    rows = [row(0, 1, 1, [5], lows[0]), row(1, 2, 2, [5], lows[0]), row(1, 3, 3, [4, 5], lows[0]), row(0, 4, 4, [4, 5], lows[0]), row(0, 6, 1, [5], lows[1])]
+    for within, want in ((True, {1: 1, 2: 1, 3: 1, 4: 1, 6: 6}), (False, {1: 1, 2: 1, 3: 1, 4: 1, 6: 6})):
+        forest = simhash.Forest()
+        simhash._meet(5, within, rows, forest)
+        assert {k: forest.find(k) for k in want} == want
+    forest = simhash.Forest()
+    simhash._meet(5, False, rows[2:4], forest)
+    assert not forest.edges()  # they meet at home 4
 
 
 def test_similar_edges(spark):
