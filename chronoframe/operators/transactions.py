@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,28 +90,78 @@ def close(txns: DataFrame) -> DataFrame:
     return txns.select("txn_id", outcome.alias("outcome"), F.when(F.col("status") == PENDING, ABORTED).otherwise(F.col("status")).alias("status"))
 
 
+_WRITE = "stretch int, commit_ts bigint, txn_id bigint, read_ts bigint, k string, done bigint, open bigint"
+
+
+def _decide(batches):
+    """The state of every row of _WRITE; stretches are whole and sorted, and so are their transactions.
+
+    Holds the last committed and the last undecided writer of the keys of one stretch.
+    """
+    done, waiting, stretch, own = {}, {}, None, []
+
+    def after(known, last, row):
+        return any(x is not None and x > row[3] for x in (known, last.get(row[4])))
+
+    def state():
+        if any(after(r[5], done, r) for r in own):
+            return ABORTED
+        return PENDING if any(after(r[6], waiting, r) for r in own) else COMMITTED
+
+    def close():
+        now = state()
+        if now != ABORTED:
+            (done if now == COMMITTED else waiting).update((r[4], r[1]) for r in own)
+        return [(*r, now) for r in own]
+
+    schema = pa.schema([(n, pa.int32() if n == "stretch" else pa.string() if n == "k" else pa.int64()) for n in [x.split()[0] for x in _WRITE.split(", ")]] + [("state", pa.int32())])
+    for b in batches:
+        out = []
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if own and row[:3] != own[0][:3]:
+                out += close()
+                own = []
+            if row[0] != stretch:
+                done, waiting, stretch = {}, {}, row[0]
+            own.append(row)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+    if own:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*close()), schema.types)], schema=schema)
+
+
 def first_committer_wins(writes: DataFrame) -> DataFrame:
     """txn_id and committed of writes(txn_id, read_ts, commit_ts, k), in order of commit, ties by id.
 
     A transaction aborts if a key that it writes has a version after its read time from one
-    that committed before it. Whole transactions are decided, in rounds: on each key the
-    greatest commit time of earlier committed writers, and of earlier undecided ones, are
-    running maxima. One is refused if the former is after its read time on any key, waits
-    if the latter is, and else commits; the earliest undecided one can always be decided.
-    Rounds are as many as the longest chain of conflicts, and each is kept as a table.
+    that committed before it. The order is cut into as many stretches as a shuffle has
+    partitions, and a task decides the transactions of a stretch one after another. One is
+    refused if a key has a committed writer after its read time, waits if it has an
+    undecided one, there or in an earlier stretch, and else commits. What waits goes into the
+    next round with the greatest commit times of its keys: the first stretch that has any
+    is decided whole, so rounds are at most as many as stretches, and mostly two or three.
+    Repeated rows count once; a transaction has one read time and one commit time.
     """
-    order = Window.partitionBy("k").orderBy("commit_ts", "txn_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = keep(writes.select("txn_id", "read_ts", "commit_ts", "k").distinct())
-    states = rows.select("txn_id").distinct().withColumn("state", F.lit(PENDING))
+    width = int(writes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["commit_ts", "txn_id"]
+    rows = writes.select("txn_id", "read_ts", "commit_ts", F.col("k").cast("string").alias("k")).distinct()
+    rows = keep(rows.repartitionByRange(width, *order).withColumn("stretch", F.spark_partition_id()))
+    by_key = Window.partitionBy("k")
+    earlier = by_key.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = by_key.orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("done", F.lit(None).cast("bigint")).withColumn("open", F.max("commit_ts").over(before))
+    names = [x.split()[0] for x in _WRITE.split(", ")]
+    decided = None
     while True:
-        now = rows.join(states, "txn_id")
-        last = lambda state: F.max(F.when(F.col("state") == state, F.col("commit_ts"))).over(order)
-        seen = now.select("txn_id", "state", "read_ts", last(COMMITTED).alias("done"), last(PENDING).alias("open"))
-        after = lambda c: F.coalesce(F.bool_or(F.col(c) > F.col("read_ts")), F.lit(False))
-        new = F.when(F.col("state") != PENDING, F.col("state")).when(F.col("refused"), ABORTED).when(F.col("waits"), PENDING).otherwise(COMMITTED)
-        states = keep(seen.groupBy("txn_id", "state").agg(after("done").alias("refused"), after("open").alias("waits")).select("txn_id", new.alias("state")))
-        if states.where(F.col("state") == PENDING).isEmpty():
-            return states.select("txn_id", (F.col("state") == COMMITTED).alias("committed"))
+        dealt = rows.select(*names).repartition(width, "stretch").sortWithinPartitions("stretch", *order)
+        found = keep(dealt.mapInArrow(_decide, _WRITE + ", state int"))
+        new = found.where(F.col("state") != PENDING).select("txn_id", (F.col("state") == COMMITTED).alias("committed")).distinct()
+        decided = new if decided is None else decided.unionByName(new)
+        if found.where(F.col("state") == PENDING).isEmpty():
+            return decided
+        last = lambda state: F.max(F.when(F.col("state") == state, F.col("commit_ts")))
+        seen = found.withColumn("done", F.greatest("done", last(COMMITTED).over(earlier))).withColumn("open", last(PENDING).over(before))
+        rows = seen.where(F.col("state") == PENDING)
 
 
 def status_of(ids: DataFrame, active: DataFrame, archived: DataFrame) -> DataFrame:

@@ -156,6 +156,14 @@ def test_first_committer_wins_equals_model(spark, seed):
     assert X.first_committer_wins(df.limit(0)).count() == 0
 
 
+def test_a_chain_of_conflicts_that_crosses_all_stretches(spark):
+    rows = {t: (t * 10, t * 10 + 15, ["x", f"{t % 7}"]) for t in range(400)}  # each overlaps the one before on x
+    df = spark.createDataFrame([(t, a, b, k) for t, (a, b, keys) in rows.items() for k in keys] * 2, "txn_id bigint, read_ts bigint, commit_ts bigint, k string")
+    got = X.first_committer_wins(df).collect()
+    assert {x["txn_id"]: x["committed"] for x in got} == first_committer_model(rows) == {t: t % 2 == 0 for t in rows}
+    assert len(got) == len(rows)
+
+
 def test_recovery_refuses_more_records_than_its_bound(spark):
     txns = spark.createDataFrame([(i, i % 3 + 1, 1) for i in range(9)], "txn_id bigint, status int, epoch bigint")
     assert {(x["txn_id"], x["status"], x["epoch"]) for x in X.recover(txns, 9).collect()} == {(i, 3 if i % 3 == 0 else i % 3 + 1, 1 + (i % 3 == 0)) for i in range(9)}
