@@ -94,8 +94,9 @@ _WRITE = "stretch int, commit_ts bigint, txn_id bigint, read_ts bigint, k string
 
 
 def _decide(batches):
-    """The state of every row of _WRITE; stretches are whole and sorted, and so are their transactions.
+    """The state of every row of _WRITE, and done with the committed writers before it in its stretch.
 
+    Stretches are whole and sorted, and so are their transactions.
     Holds the last committed and the last undecided writer of the keys of one stretch.
     """
     done, waiting, stretch, own = {}, {}, None, []
@@ -110,9 +111,10 @@ def _decide(batches):
 
     def close():
         now = state()
+        out = [(*r[:5], max((x for x in (r[5], done.get(r[4])) if x is not None), default=None), r[6], now) for r in own]
         if now != ABORTED:
             (done if now == COMMITTED else waiting).update((r[4], r[1]) for r in own)
-        return [(*r, now) for r in own]
+        return out
 
     schema = pa.schema([(n, pa.int32() if n == "stretch" else pa.string() if n == "k" else pa.int64()) for n in [x.split()[0] for x in _WRITE.split(", ")]] + [("state", pa.int32())])
     for b in batches:
@@ -130,6 +132,20 @@ def _decide(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*close()), schema.types)], schema=schema)
 
 
+def _with_earlier(found: DataFrame) -> DataFrame:
+    """Undecided rows as _WRITE, with the greatest commit times of their keys' writers in earlier stretches.
+
+    They come from one row for each key and stretch, so that a hot key's rows never meet.
+    """
+    last = lambda state: F.max(F.when(F.col("state") == state, F.col("commit_ts")))
+    before = Window.partitionBy("k").orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)
+    ends = found.groupBy("k", "stretch").agg(last(COMMITTED).alias("c"), last(PENDING).alias("o"))
+    ends = ends.select(F.col("k").alias("k2"), F.col("stretch").alias("s2"), F.max("c").over(before).alias("c"), F.max("o").over(before).alias("open"))
+    same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("stretch") == F.col("s2"))
+    rows = found.where(F.col("state") == PENDING).drop("open").join(ends, same)
+    return rows.withColumn("done", F.greatest("done", "c")).select(*[x.split()[0] for x in _WRITE.split(", ")])
+
+
 def first_committer_wins(writes: DataFrame) -> DataFrame:
     """txn_id and committed of writes(txn_id, read_ts, commit_ts, k), in order of commit, ties by id.
 
@@ -139,29 +155,22 @@ def first_committer_wins(writes: DataFrame) -> DataFrame:
     refused if a key has a committed writer after its read time, waits if it has an
     undecided one, there or in an earlier stretch, and else commits. What waits goes into the
     next round with the greatest commit times of its keys: the first stretch that has any
-    is decided whole, so rounds are at most as many as stretches, and mostly two or three.
+    is decided whole, so rounds are at most as many as stretches.
     Repeated rows count once; a transaction has one read time and one commit time.
     """
     width = int(writes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["commit_ts", "txn_id"]
     rows = writes.select("txn_id", "read_ts", "commit_ts", F.col("k").cast("string").alias("k")).distinct()
     rows = keep(rows.repartitionByRange(width, *order).withColumn("stretch", F.spark_partition_id()))
-    by_key = Window.partitionBy("k")
-    earlier = by_key.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = by_key.orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("done", F.lit(None).cast("bigint")).withColumn("open", F.max("commit_ts").over(before))
-    names = [x.split()[0] for x in _WRITE.split(", ")]
+    found = rows.withColumns({"done": F.lit(None).cast("bigint"), "state": F.lit(PENDING)})
     decided = None
     while True:
-        dealt = rows.select(*names).repartition(width, "stretch").sortWithinPartitions("stretch", *order)
+        dealt = _with_earlier(found).repartition(width, "stretch").sortWithinPartitions("stretch", *order)
         found = keep(dealt.mapInArrow(_decide, _WRITE + ", state int"))
         new = found.where(F.col("state") != PENDING).select("txn_id", (F.col("state") == COMMITTED).alias("committed")).distinct()
         decided = new if decided is None else decided.unionByName(new)
         if found.where(F.col("state") == PENDING).isEmpty():
             return decided
-        last = lambda state: F.max(F.when(F.col("state") == state, F.col("commit_ts")))
-        seen = found.withColumn("done", F.greatest("done", last(COMMITTED).over(earlier))).withColumn("open", last(PENDING).over(before))
-        rows = seen.where(F.col("state") == PENDING)
 
 
 def status_of(ids: DataFrame, active: DataFrame, archived: DataFrame) -> DataFrame:
