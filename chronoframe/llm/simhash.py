@@ -289,6 +289,8 @@ BUCKET, PARTNERS = 500_000, 100
 #: A token of so many sets that are still apart is dense; each set of a dense token gets so many homes among them. Those of a
 #: home meet in blocks of about so many sets or hashes.
 DENSE, HOMES, HOME_BLOCK, HOME_SIZE = 64, 4, 256, 1 << 20
+#: Stands after the homes of a set that has fewer.
+NO_HOME = (1 << 63) - 1
 
 
 def shingle_set(text: str, width: int = SIMILAR_WIDTH) -> np.ndarray:
@@ -483,22 +485,57 @@ def _shared_counts(lows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _may_meet(home: int, within: bool, block: np.ndarray, n: np.ndarray, root: np.ndarray, fp: np.ndarray, homes: np.ndarray):
+    """The pairs of places of a home that sizes and fingerprints allow to be similar, a stripe at a time; see _meet for those left out."""
+    fp, place = fp.view(np.uint64), np.arange(len(n))
+    for at in range(0, len(n), 256):
+        own = slice(at, at + 256)
+        may = root[own, None] != root[None]
+        may &= place[own, None] > place[None] if within else block[own, None] < block[None]
+        may &= (n[own, None] * OF >= n[None] * SHARE) & (n[None] * OF >= n[own, None] * SHARE)
+        apart = sum(np.bitwise_count(fp[own, k, None] ^ fp[None, :, k]).astype(np.int16) for k in range(len(LIMBS)))
+        may &= (apart <= SIMILAR_RADIUS) | (np.minimum(n[own, None], n[None]) < SHORT)
+        left, right = np.nonzero(may)
+        left += at
+        new = np.ones(len(left), bool)
+        for k in range(homes.shape[1]):
+            earlier = homes[left, k]
+            new &= (earlier >= home) | (homes[right] != earlier[:, None]).all(axis=1)
+        yield left[new], right[new]
+
+
+def _near(batches):
+    """Of (home, b1, b2, block, set, n, root, fp, homes, the last two as a column each) sorted by the first three: (home, set) of the sets that _may_meet one."""
+
+    def out(rows: np.ndarray):
+        pairs = _may_meet(int(rows[0, 0]), rows[0, 1] == rows[0, 2], rows[:, 3], rows[:, 5], rows[:, 6], np.ascontiguousarray(rows[:, 7 : 7 + len(LIMBS)]), rows[:, 7 + len(LIMBS) :])
+        met = rows[np.unique(np.concatenate([x for both in pairs for x in both])), 4]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(met), rows[0, 0])), pa.array(met)], ["home", "set"])
+
+    kept = []
+    for b in batches:
+        rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns], axis=1)
+        if not len(rows):
+            continue
+        rows = np.concatenate([*kept, rows])
+        cuts = [0, *(np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1).tolist()]
+        for a, z in zip(cuts, cuts[1:]):
+            if z - a > 1:
+                yield out(rows[a:z])
+        kept = [rows[cuts[-1] :]]
+    if kept and len(kept[0]) > 1:
+        yield out(kept[0])
+
+
 def _meet(home: int, within: bool, rows: list[tuple], forest: Forest) -> None:
     """Joins what is similar among the rows (block, set, n, root, fp, homes, low) of a home: within a block or between two.
 
     Left out are pairs that are connected already and those that have an earlier home in common, where they meet.
     """
     block, sets, n, root = (np.array(x, np.int64) for x in list(zip(*rows))[:4])
-    fp = np.array([r[4] for r in rows], np.int64).view(np.uint64)
-    may = root[:, None] != root[None]
-    may &= np.tri(len(rows), k=-1, dtype=bool) if within else block[:, None] < block[None]
-    may &= (n[:, None] * OF >= n[None] * SHARE) & (n[None] * OF >= n[:, None] * SHARE)
-    apart = sum(np.bitwise_count(fp[:, k, None] ^ fp[None, :, k]).astype(np.int16) for k in range(len(LIMBS)))
-    may &= (apart <= SIMILAR_RADIUS) | (np.minimum(n[:, None], n[None]) < SHORT)
-    for h in {x for r in rows for x in r[5] if x < home}:
-        has = np.array([h in r[5] for r in rows])
-        may &= ~(has[:, None] & has[None])
-    left, right = np.nonzero(may)
+    fp = np.array([r[4] for r in rows], np.int64)
+    homes = np.array([[*r[5], *[NO_HOME] * (HOMES - len(r[5]))] for r in rows], np.int64)
+    left, right = (np.concatenate(x) for x in zip(*_may_meet(home, within, block, n, root, fp, homes)))
     if not len(left):
         return
     lows = [np.frombuffer(r[6], np.uint32) for r in rows]
@@ -541,22 +578,42 @@ def _homes(now: DataFrame, dense: DataFrame) -> DataFrame:
     return own.select("set", "fp", "n", "root", F.array_distinct(F.array(*[f"h{k}" for k in range(HOMES)])).alias("homes"))
 
 
+def _in_blocks(places: DataFrame, blocks) -> DataFrame:
+    """(home, b1, b2, block, set) of places(set, n, root, home): each block of a home beside each other one, and itself.
+
+    blocks: how many a home has, an aggregate. Homes whose sets are all connected are left out.
+    """
+    groups = places.groupBy("home").agg(blocks.cast("int").alias("blocks"), (F.min("root") != F.max("root")).alias("open")).where("open").select("home", "blocks")
+    dealt = places.select("set", "home").join(groups, "home").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("home", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "set")
+
+
 def _similar_at_home(homes: DataFrame, named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Edges that span the similar sets among those with a home in common, of what _homes gives.
 
     Blocks of a home are compared with each other in as many tasks, so that no pair is ever a row:
-    a set has a row for each block of each of its homes.
+    a set has a row for each block of each of its homes. That is done twice: first by sizes and
+    fingerprints alone, and then with their hashes for those sets that may be similar to one
+    there. Most that share a home have no more in common than a passage, and their hashes stay.
     """
+    width, group, rows = shuffle_width(texts.sparkSession), ["home", "b1", "b2"], F.count(F.lit(1))
     places = homes.select("set", "n", "root", F.explode("homes").alias("home"))
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / HOME_BLOCK), F.ceil(F.sum("n") / HOME_SIZE)).cast("int").alias("blocks")
-    groups = places.groupBy("home").agg(blocks, (F.min("root") != F.max("root")).alias("open")).where("open").select("home", "blocks")
-    dealt = places.select("set", "home").join(scratch.keep(groups), "home").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("home", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "set")
-    full = scratch.keep(homes.select("set", "n", "root", F.array(*[F.col("fp")[x] for x in LIMBS]).alias("fp"), "homes").join(_lows(homes.select("set"), named, texts), "set"))
-    group = ["home", "b1", "b2"]
-    dealt = dealt.join(full, "set").select(*group, "block", "set", "n", "root", "fp", "homes", "low")
-    return dealt.repartition(shuffle_width(texts.sparkSession), *group).sortWithinPartitions(*group).mapInArrow(_meetings, "u bigint, v bigint")
+    # blocks get larger before they get more than eight
+    few = F.least(F.ceil(rows / HOME_BLOCK), F.greatest(F.lit(8), F.ceil(rows / (8 * HOME_BLOCK))))
+    flat = homes.select("set", "n", "root", *[F.col("fp")[x].alias(x) for x in LIMBS], *[F.coalesce(F.get("homes", F.lit(k)), F.lit(NO_HOME)).alias(f"h{k}") for k in range(HOMES)])
+    dealt = _in_blocks(places, few).join(flat, "set").select(*group, "block", *flat.columns)
+    dealt = dealt.repartition(width, *group).sortWithinPartitions(*group)
+    near = scratch.keep(dealt.mapInArrow(_near, "home bigint, set bigint").distinct())
+    asked = scratch.keep(near.select("set").distinct())
+    full = homes.join(asked, "set", "left_semi").select("set", "n", "root", F.array(*[F.col("fp")[x] for x in LIMBS]).alias("fp"), "homes")
+    full = scratch.keep(full.join(_lows(asked, named, texts), "set"))
+    blocks = F.greatest(F.ceil(rows / HOME_BLOCK), F.ceil(F.sum("n") / HOME_SIZE))
+    dealt = _in_blocks(near.join(full.select("set", "n", "root"), "set"), blocks).join(full, "set").select(*group, "block", "set", "n", "root", "fp", "homes", "low")
+    found = scratch.keep(dealt.repartition(width, *group).sortWithinPartitions(*group).mapInArrow(_meetings, "u bigint, v bigint"))
+    for t in (near, asked, full):
+        scratch.drop(t)
+    return found
 
 
 def _similar(pairs: DataFrame, named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -591,15 +648,18 @@ def similar_sets(shared: DataFrame, named: DataFrame, texts: DataFrame, scratch:
     that are still apart and have no home in common are compared: each has one set outside the
     token's largest component.
     """
-    edges = roots = before = homes = None
+    edges = roots = before = homes = last_now = None
     common = scratch.keep(shared.groupBy("set").agg((F.count(F.lit(1)) / F.max("n")).alias("common")))
 
     def grouped():
         """shared with roots, and the tokens whose sets are apart."""
+        nonlocal last_now
         if roots is None:
             now = shared.withColumn("root", F.col("set"))
         else:
-            now = scratch.keep(shared.join(scratch.keep(_rooted(named, roots).select("set", "root")), "set"))
+            if last_now is not None:
+                scratch.drop(last_now)
+            now = last_now = scratch.keep(shared.join(scratch.keep(_rooted(named, roots).select("set", "root")), "set"))
         cells = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
         tokens = cells.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("big"), F.sum("c").alias("all"), F.max("c").alias("most"))
         return now, scratch.keep(tokens.where("all > most"))
@@ -618,7 +678,7 @@ def similar_sets(shared: DataFrame, named: DataFrame, texts: DataFrame, scratch:
         before = work[0]
         if last and not (dense := tokens.where(F.col("all") >= DENSE)).isEmpty():
             homes = scratch.keep(_homes(now, dense))
-            connect(scratch.keep(_similar_at_home(homes, named, texts, scratch)))
+            connect(_similar_at_home(homes, named, texts, scratch))
             now, tokens = grouped()
         now = now.withColumn("homes", F.lit(None).cast("array<bigint>")) if homes is None else now.join(homes.select("set", "homes"), "set", "left")
         apart = now.join(tokens.select("token", "big"), "token")

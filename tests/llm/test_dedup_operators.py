@@ -223,6 +223,19 @@ def test_shared_counts_and_meetings():
     assert not forest.edges()  # they meet at home 4
 
 
+def test_hashes_are_dealt_only_of_sets_that_may_be_similar(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COMMON_LEAST", 10**6)
+    monkeypatch.setattr(simhash, "STAR_ROUNDS", 0)
+    asked, lows = [], simhash._lows
+    monkeypatch.setattr(simhash, "_lows", lambda sets, *more: asked.append(sets.distinct().count()) or lows(sets, *more))
+    line = words(1, 30, 5000)
+    rows = [line + words(100 + i, 60, 5000) for i in range(80)]
+    rows += [[*rows[0][:-1], f"z{i}"] for i in range(3)]
+    docs = documents(spark, [(i, " ".join(x), "en", "s", 1) for i, x in enumerate(rows)])
+    assert {x["doc_id"] for x in simhash.first_of_similar(docs).collect()} == set(range(80))
+    assert asked and max(asked) < 12  # 83 when all that share the line were dealt with their hashes
+
+
 def test_similar_edges(spark):
     kept = simhash.first_of_similar(clashing(spark, "fp", "prefix")).collect()
     assert sorted(str(x["doc_id"]) for x in kept) == ["1", "4", "6", "7", "8", "None"]
