@@ -637,11 +637,26 @@ def _rooted(named: DataFrame, roots: DataFrame) -> DataFrame:
     return named.select("set", "least").join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
 
 
+def _near_by_bits(named: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of sets, of named(set, fp): the edges that the pigeonhole search of the first limbs gives, and the sets of equal limbs.
+
+    At most about as many as sets, as edges only span what is connected.
+    """
+    firsts = scratch.keep(named.groupBy(F.col("fp")["a"].alias("bits")).agg(F.min("set").alias("first")))
+    same = named.select("set", F.col("fp")["a"].alias("bits")).join(firsts, "bits").select(F.col("first").alias("u"), F.col("set").alias("v"))
+    first = lambda x: firsts.select(F.col("bits").alias(x), F.col("first").alias(f"{x}_set"))
+    near = links(firsts.select(F.col("bits").alias("fp")), scratch).distinct()
+    near = near.join(first("u"), "u").join(first("v"), "v").select(F.col("u_set").alias("u"), F.col("v_set").alias("v"))
+    return same.unionByName(near).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def similar_sets(shared: DataFrame, named: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of the sets that similar pairs connect, of shared(token, set, fp, n): each set's prefix.
 
     named and texts are those of _similar.
 
+    The pigeonhole search of the fingerprints comes first: what it finds is compared in full, and what
+    is similar is connected. Its radius does not reach all that are similar, which the shared tokens do.
     A dense group would have a pair for each two members. So each token first compares its sets
     with one of them, chosen anew each round, and sets that are connected already are not compared
     again. Then the sets of dense tokens meet at their homes, within tasks. Then all pairs of a token
@@ -669,6 +684,8 @@ def similar_sets(shared: DataFrame, named: DataFrame, texts: DataFrame, scratch:
         edges = found if edges is None else edges.unionByName(found)
         roots = scratch.keep(components(edges, scratch))
 
+    if not (near := scratch.keep(_near_by_bits(named, scratch))).isEmpty():
+        connect(scratch.keep(_similar(near, named, texts, scratch)))
     for k in range(STAR_ROUNDS + 1):
         now, tokens = grouped()
         work = tokens.agg(F.sum(F.col("all") * (F.col("all") - F.col("most"))), F.sum("all")).first()
@@ -703,7 +720,8 @@ def first_of_similar(docs: DataFrame) -> DataFrame:
     Two texts are similar if they share four fifths of their distinct shingles of five words (a
     shingle is known by its 64-bit hash, of which 32 bits are compared in the end, so that sets of
     n shingles seem to share n * n / 2^32 more); a text of fewer words is one shingle, and all without
-    words are alike. Sets that similar share one of their first shingles in any order; those that
+    words are alike. The pigeonhole search of fingerprints finds the nearest of them, and the sets'
+    first shingles the rest. Sets that similar share one of their first shingles in any order; those that
     do are candidates, the radius thins them out, and the rest are compared in full. A null text
     counts as empty and a null id sorts first; of rows that repeat an id and a text one stays. Other
     columns stay as they are whatever their names; an empty table gives none.

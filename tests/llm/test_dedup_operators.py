@@ -236,6 +236,17 @@ def test_hashes_are_dealt_only_of_sets_that_may_be_similar(spark, monkeypatch):
     assert asked and max(asked) < 12  # 83 when all that share the line were dealt with their hashes
 
 
+def test_pigeonhole_search_comes_before_shared_shingles(spark, monkeypatch):
+    found, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *x: found.append(links(*x)) or found[-1])
+    base = words(1, 400, 5000)
+    rows = [base, [*base[:-1], "z"], *(words(i, 400, 5000) for i in (2, 3))]
+    docs = documents(spark, [(i, " ".join(x), "en", "s", 1) for i, x in enumerate(rows)])
+    assert {x["doc_id"] for x in simhash.first_of_similar(docs).collect()} == {0, 2, 3}
+    limbs = [simhash._wide(simhash.shingle_set(" ".join(x)))[0] for x in rows]
+    assert [{r["u"], r["v"]} for r in found[0].distinct().collect()] == [{limbs[0], limbs[1]}]
+
+
 def test_similar_edges(spark):
     kept = simhash.first_of_similar(clashing(spark, "fp", "prefix")).collect()
     assert sorted(str(x["doc_id"]) for x in kept) == ["1", "4", "6", "7", "8", "None"]
