@@ -288,7 +288,7 @@ STAR_ROUNDS, LITTLE = 6, 20
 BUCKET, PARTNERS = 500_000, 100
 #: A token of so many sets that are still apart is dense; each set of a dense token gets so many homes among them. Those of a
 #: home meet in blocks of about so many sets or hashes.
-DENSE, HOMES, HOME_BLOCK, HOME_SIZE = 64, 4, 256, 1 << 20
+DENSE, HOMES, HOME_BLOCK, HOME_SIZE = 64, 8, 256, 1 << 20
 #: Stands after the homes of a set that has fewer.
 NO_HOME = (1 << 63) - 1
 
