@@ -290,6 +290,17 @@ def test_words_beside_seeds_go_to_the_class_that_gains_most():
         assert values[got[w]] == pytest.approx(max(values))
 
 
+def test_words_beside_no_seed_get_a_class_too(spark, monkeypatch):
+    for name, x in (("SEEDS", 4), ("KNOWN_A_SEED", 2), ("SEEDS_A_CLASS", 2)):
+        monkeypatch.setattr(brown, name, x)
+    models, fit = [], brown.fit
+    monkeypatch.setattr(brown, "fit", lambda *a: models.append(fit(*a)) or models[-1])
+    texts = ["a b c d a c b d a d b c"] * 20 + ["a m1 p q r m2 b"] * 5
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert brown.score(docs).count() == 25
+    assert len(models[0].classes) == 11 and (models[0].classes[:-2] < len(models[0].steps) - 1).all()
+
+
 def test_exchange_raises_the_likelihood():
     r = np.random.default_rng(1)
     pairs = np.zeros((41, 41), np.int64)
