@@ -37,7 +37,7 @@ def test_query_equals_oracle(spark, duck, name):
     assert sorted(tuple(_plain(r[c]) for c in order) for r in got) == sorted(tuple(_plain(r[names.index(c)]) for c in order) for r in want)
 
 
-@pytest.mark.parametrize("name", ["d2_version_digest", "d3_image_digest", "d3_record_digest"])
+@pytest.mark.parametrize("name", ["d2_version_digest", "d3_image_digest", "d3_record_digest", "d4_historical_digest"])
 def test_digest_of_small_leaves_equals_oracle(spark, name, monkeypatch):
     from chronoframe.operators import audit as A
 
