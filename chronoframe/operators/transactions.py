@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,86 +95,116 @@ def close(txns: DataFrame) -> DataFrame:
 
 
 _WRITE = "stretch int, commit_ts bigint, txn_id bigint, read_ts bigint, k string, done bigint, open bigint"
+_SCHEMA = pa.schema([(n, pa.int32() if n == "stretch" else pa.string() if n == "k" else pa.int64()) for n in [x.split()[0] for x in _WRITE.split(", ")]])
+#: Stands for no commit time.
+_NEVER = -(2**63)
 
 
-def _decide(batches):
-    """The state of every row of _WRITE, and done with the committed writers before it in its stretch.
+def _decide(batches, fresh: bool):
+    """Rows of _WRITE with their state, done with the committed writers before them in their stretch, and whether they are their transaction's first.
 
-    Stretches are whole and sorted, and so are their transactions.
+    Stretches are whole and sorted, and so are their transactions. In a fresh table nothing is
+    known of earlier stretches, so that what was read before a stretch's first commit waits.
     Holds the last committed and the last undecided writer of the keys of one stretch.
     """
-    done, waiting, stretch, own = {}, {}, None, []
-
-    def after(known, last, row):
-        return any(x is not None and x > row[3] for x in (known, last.get(row[4])))
-
-    def state():
-        if any(after(r[5], done, r) for r in own):
-            return ABORTED
-        return PENDING if any(after(r[6], waiting, r) for r in own) else COMMITTED
-
-    def close():
-        now = state()
-        out = [(*r[:5], max((x for x in (r[5], done.get(r[4])) if x is not None), default=None), r[6], now) for r in own]
-        if now != ABORTED:
-            (done if now == COMMITTED else waiting).update((r[4], r[1]) for r in own)
-        return out
-
-    schema = pa.schema([(n, pa.int32() if n == "stretch" else pa.string() if n == "k" else pa.int64()) for n in [x.split()[0] for x in _WRITE.split(", ")]] + [("state", pa.int32())])
+    done, waiting, stretch, floor = {}, {}, None, _NEVER
+
+    def decided(rows, starts):
+        nonlocal done, waiting, stretch, floor
+        at, commit, read, keys = (rows.column(n).to_pylist() for n in ("stretch", "commit_ts", "read_ts", "k"))
+        known, opened = (pc.fill_null(rows.column(n), _NEVER).to_pylist() for n in ("done", "open"))
+        states, first = [], np.zeros(len(keys), bool)
+        first[starts] = True
+        for i, j in zip(starts, [*starts[1:], len(keys)]):
+            if at[i] != stretch:
+                done, waiting, stretch, floor = {}, {}, at[i], commit[i] if fresh and at[i] else _NEVER
+            state = COMMITTED
+            for x in range(i, j):
+                last, after = done.get(keys[x], _NEVER), read[x]
+                if last > known[x]:
+                    known[x] = last
+                if known[x] > after:
+                    state = ABORTED
+                    break
+                if floor > after or opened[x] > after or waiting.get(keys[x], _NEVER) > after:
+                    state = PENDING
+            if state != ABORTED:
+                (done if state == COMMITTED else waiting).update(dict.fromkeys(keys[i:j], commit[i]))
+            states += [state] * (j - i)
+        kept = [rows.column(n) for n in _SCHEMA.names]
+        kept[5] = pa.array(known, pa.int64())
+        return pa.RecordBatch.from_arrays([*kept, pa.array(states, pa.int32()), pa.array(first)], names=[*_SCHEMA.names, "state", "first"])
+
+    rest = None
     for b in batches:
-        out = []
-        for row in zip(*(c.to_pylist() for c in b.columns)):
-            if own and row[:3] != own[0][:3]:
-                out += close()
-                own = []
-            if row[0] != stretch:
-                done, waiting, stretch = {}, {}, row[0]
-            own.append(row)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-    if own:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*close()), schema.types)], schema=schema)
-
-
-def _with_earlier(found: DataFrame) -> DataFrame:
-    """Undecided rows as _WRITE, with the greatest commit times of their keys' writers in earlier stretches.
-
+        rows = pa.Table.from_batches([b]).cast(_SCHEMA)
+        rows = (rows if rest is None else pa.concat_tables([rest, rows])).combine_chunks()
+        if not rows.num_rows:
+            continue
+        rows = rows.to_batches()[0]
+        ids = [rows.column(i).to_numpy() for i in range(3)]
+        starts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1).tolist()]
+        whole = starts.pop()  # the last transaction may go on in the next batch
+        rest = pa.Table.from_batches([rows.slice(whole)])
+        if starts:
+            yield decided(rows.slice(0, whole), starts)
+    if rest is not None:
+        yield decided(rest.combine_chunks().to_batches()[0], [0])
+
+
+def _with_earlier(found: DataFrame, merged: int) -> DataFrame:
+    """Undecided rows as _WRITE in stretches of so many of the old ones, with the greatest commit times of their keys' writers in earlier stretches.
+
+    Committed writers are those of earlier old stretches, undecided ones those of earlier new stretches.
     They come from one row for each key and stretch, so that a hot key's rows never meet.
     """
     last = lambda state: F.max(F.when(F.col("state") == state, F.col("commit_ts")))
-    before = Window.partitionBy("k").orderBy("stretch").rangeBetween(Window.unboundedPreceding, -1)
-    ends = found.groupBy("k", "stretch").agg(last(COMMITTED).alias("c"), last(PENDING).alias("o"))
-    ends = ends.select(F.col("k").alias("k2"), F.col("stretch").alias("s2"), F.max("c").over(before).alias("c"), F.max("o").over(before).alias("open"))
+    new = F.expr(f"stretch div {merged}").cast("int")
+    before = lambda c: Window.partitionBy("k").orderBy(c).rangeBetween(Window.unboundedPreceding, -1)
+    ends = found.groupBy("k", "stretch").agg(last(COMMITTED).alias("c"), last(PENDING).alias("o")).withColumn("new", new)
+    ends = ends.select(F.col("k").alias("k2"), F.col("stretch").alias("s2"), F.max("c").over(before("stretch")).alias("c"), F.max("o").over(before("new")).alias("open"))
     same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("stretch") == F.col("s2"))
     rows = found.where(F.col("state") == PENDING).drop("open").join(ends, same)
-    return rows.withColumn("done", F.greatest("done", "c")).select(*[x.split()[0] for x in _WRITE.split(", ")])
+    return rows.withColumns({"done": F.greatest("done", "c"), "stretch": new}).select(*_SCHEMA.names)
+
+
+#: Mean times from read to commit that a stretch spans at least, and stretches that become one in a round.
+SPAN, MERGED = 8, 4
 
 
 def first_committer_wins(writes: DataFrame) -> DataFrame:
     """txn_id and committed of writes(txn_id, read_ts, commit_ts, k), in order of commit, ties by id.
 
     A transaction aborts if a key that it writes has a version after its read time from one
-    that committed before it. The order is cut into as many stretches as a shuffle has
-    partitions, and a task decides the transactions of a stretch one after another. One is
-    refused if a key has a committed writer after its read time, waits if it has an
-    undecided one, there or in an earlier stretch, and else commits. What waits goes into the
-    next round with the greatest commit times of its keys: the first stretch that has any
-    is decided whole, so rounds are at most as many as stretches.
+    that committed before it. The order is cut into stretches, and a task decides the
+    transactions of a stretch one after another. One is refused if a key has a committed
+    writer after its read time, waits if it has an undecided one, there or in an earlier
+    stretch, and else commits. What waits goes into the next round with the greatest commit
+    times of its keys, in stretches of four old ones: the first stretch is always decided
+    whole, so the last round has but one, and rounds are as many as the logarithm to base four
+    of the stretches, and one.
+    There are at most as many stretches as a shuffle has partitions, and so few that one
+    spans eight mean times from read to commit: in shorter ones nearly all would wait.
     Repeated rows count once; a transaction has one read time and one commit time.
     """
-    width = int(writes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["commit_ts", "txn_id"]
-    rows = writes.select("txn_id", "read_ts", "commit_ts", F.col("k").cast("string").alias("k")).distinct()
-    rows = keep(rows.repartitionByRange(width, *order).withColumn("stretch", F.spark_partition_id()))
-    found = rows.withColumns({"done": F.lit(None).cast("bigint"), "state": F.lit(PENDING)})
+    rows = writes.select("commit_ts", "txn_id", "read_ts", F.col("k").cast("string").alias("k"))
+    commit = F.col("commit_ts").cast("double")
+    took, span = rows.agg(F.avg(commit - F.col("read_ts")), F.max(commit) - F.min(commit)).first()
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if took and took > 0:
+        width = max(1, min(width, int(span / (took * SPAN))))
+    none = F.lit(None).cast("bigint")
+    dealt = rows.repartitionByRange(width, *order).sortWithinPartitions(*order).withColumns({"stretch": F.spark_partition_id(), "done": none, "open": none}).select(*_SCHEMA.names)
     decided = None
     while True:
-        dealt = _with_earlier(found).repartition(width, "stretch").sortWithinPartitions("stretch", *order)
-        found = keep(dealt.mapInArrow(_decide, _WRITE + ", state int"))
-        new = found.where(F.col("state") != PENDING).select("txn_id", (F.col("state") == COMMITTED).alias("committed")).distinct()
+        found = keep(dealt.mapInArrow(partial(_decide, fresh=decided is None), _WRITE + ", state int, first boolean"))
+        new = found.where((F.col("state") != PENDING) & F.col("first")).select("txn_id", (F.col("state") == COMMITTED).alias("committed"))
         decided = new if decided is None else decided.unionByName(new)
-        if found.where(F.col("state") == PENDING).isEmpty():
+        if width == 1 or found.where(F.col("state") == PENDING).isEmpty():
             return decided
+        width = -(-width // MERGED)
+        dealt = _with_earlier(found, MERGED).repartition(width, "stretch").sortWithinPartitions("stretch", *order)
 
 
 def status_of(ids: DataFrame, active: DataFrame, archived: DataFrame) -> DataFrame:

@@ -164,6 +164,21 @@ def test_a_chain_of_conflicts_that_crosses_all_stretches(spark):
     assert len(got) == len(rows)
 
 
+def test_rounds_of_a_chain_are_few_however_many_partitions(spark, monkeypatch):
+    rows = {t: (t * 10, t * 10 + 15, ["x", f"{t % 7}"]) for t in range(400)}
+    df = spark.createDataFrame([(t, a, b, k) for t, (a, b, keys) in rows.items() for k in keys], "txn_id bigint, read_ts bigint, commit_ts bigint, k string")
+    tables, keep = [], X.keep
+    monkeypatch.setattr(X, "keep", lambda *a: tables.append(1) or keep(*a))
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = {x["txn_id"]: x["committed"] for x in X.first_committer_wins(df).collect()}
+        none = X.first_committer_wins(df.withColumn("commit_ts", F.col("read_ts"))).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == first_committer_model(rows) and all(x["committed"] for x in none)
+    assert len(tables) <= 4 + 4  # stretches: 33, 9, 3 and 1; 40, 10, 3 and 1
+
+
 def test_recovery_refuses_more_records_than_its_bound(spark):
     txns = spark.createDataFrame([(i, i % 3 + 1, 1) for i in range(9)], "txn_id bigint, status int, epoch bigint")
     assert {(x["txn_id"], x["status"], x["epoch"]) for x in X.recover(txns, 9).collect()} == {(i, 3 if i % 3 == 0 else i % 3 + 1, 1 + (i % 3 == 0)) for i in range(9)}
