@@ -141,8 +141,13 @@ def replay_delta(log: DataFrame, catalog: DataFrame, after: int) -> DataFrame:
 
 def stale(routes: DataFrame, catalog: DataFrame) -> DataFrame:
     """Routes whose generation is not the catalog's, or whose range is gone."""
+    return with_stale(routes, catalog).where("stale").drop("stale")
+
+
+def with_stale(routes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Adds whether a route is stale. A catalog has at most 4,096 ranges and is broadcast: by a shuffle all routes would meet in a task for each range."""
     now = catalog.select("range_id", F.col("generation").alias("_now"))
-    return routes.join(now, "range_id", "left").where("_now IS NULL OR generation != _now").drop("_now")
+    return routes.join(F.broadcast(now), "range_id", "left").withColumn("stale", F.expr("_now IS NULL OR generation != _now")).drop("_now")
 
 
 def recovery_roles(splits: DataFrame) -> DataFrame:

@@ -39,10 +39,15 @@ def interpret(versions: DataFrame, txns: DataFrame, target: int, start=None, end
     return out
 
 
-def buffered(writes: DataFrame) -> DataFrame:
-    """The last write of each key of a transaction: txn_id, k, value, is_delete."""
-    last = F.max_by(F.struct("value", "is_delete"), "seq")
-    return writes.groupBy("txn_id", "k").agg(last.alias("w")).select("txn_id", "k", "w.value", "w.is_delete")
+def buffered(writes: DataFrame, *also: str) -> DataFrame:
+    """The last write of each key of a transaction: txn_id, k, value, is_delete, and columns that have one value for these two.
+
+    Rows are dealt by transaction before they are grouped: hardly any key is written
+    twice, so that groups of what a task scans would hold all of it at once. What a caller
+    groups by transaction stays where it is.
+    """
+    last = [F.max_by(c, "seq").alias(c) for c in ("value", "is_delete")]
+    return writes.repartition("txn_id").groupBy("txn_id", "k", *also).agg(*last).select("txn_id", "k", "value", "is_delete", *also)
 
 
 def overlay(base: DataFrame, writes: DataFrame, start=None, end=None) -> DataFrame:

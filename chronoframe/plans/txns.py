@@ -21,8 +21,7 @@ _CONFLICT = ", conflicts AS (SELECT b.txn_id, b.k, b.range_id, b.value, b.is_del
 
 
 def _buffered(f):
-    reads = f.txn_writes().select("txn_id", "read_ts").distinct()
-    return X.buffered(f.txn_writes()).join(reads, "txn_id")
+    return X.buffered(f.txn_writes(), "read_ts")
 
 
 def _routed(f):
@@ -146,9 +145,8 @@ def t15(f):
 @query("t16_route_pins", _ROUTED + ", pins AS (SELECT DISTINCT txn_id, range_id, CASE WHEN txn_id % 7 = 0 THEN generation + 1 ELSE generation END AS generation FROM routed) SELECT txn_id, bool_or(c.generation IS NULL OR c.generation <> p.generation) AS aborted FROM pins p LEFT JOIN catalog c USING (range_id) GROUP BY txn_id")
 def t16(f):
     pin = F.when(F.col("txn_id") % 7 == 0, F.col("generation") + 1).otherwise(F.col("generation"))
-    pins = _routed(f).select("txn_id", "range_id", pin.alias("generation")).distinct()
-    bad = C.stale(pins, f.catalog()).select("txn_id").distinct().withColumn("bad", F.lit(True))
-    return pins.select("txn_id").distinct().join(bad, "txn_id", "left").select("txn_id", F.coalesce("bad", F.lit(False)).alias("aborted"))
+    pins = C.with_stale(_routed(f).select("txn_id", "range_id", pin.alias("generation")), f.catalog())
+    return pins.groupBy("txn_id").agg(F.bool_or("stale").alias("aborted"))
 
 
 _FOLD = """, w AS (SELECT DISTINCT txn_id, read_ts, read_ts + 1415577600000 AS commit_ts, k FROM txn_writes),

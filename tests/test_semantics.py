@@ -186,6 +186,20 @@ def test_recovery_refuses_more_records_than_its_bound(spark):
         X.recover(txns, 8)
 
 
+def shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x.split("hashpartitioning(")[1].split("#")[0] for x in plan.splitlines() if "Exchange hashpartitioning(" in x]
+
+
+def test_route_pins_are_dealt_by_transaction_alone(spark):
+    from chronoframe.plans import registry
+
+    assert set(shuffles(registry.queries()["t16_route_pins"](spark, "/root/testdata/sf0.001"))) == {"txn_id"}
+    cat = spark.createDataFrame([(1, 1), (2, 3)], "range_id bigint, generation bigint")
+    routes = spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "range_id bigint, generation bigint")
+    assert not shuffles(C.stale(routes, cat)) and sorted(map(tuple, C.stale(routes, cat).collect())) == [(2, 2), (3, 1)]
+
+
 def test_checksums_and_key_hashes(spark):
     from chronoframe.functions import scalars as S
 
