@@ -59,11 +59,15 @@ def overlay(base: DataFrame, writes: DataFrame, start=None, end=None) -> DataFra
 
 
 def conflicts(versions: DataFrame, writes: DataFrame) -> DataFrame:
-    """Each written key with whether preparing it must be refused: an intent, or any version after the read time."""
-    newest = select_as_of(versions).select("k", F.col("kind").alias("_kind"), F.col("ts").alias("_ts"))
+    """Each write with whether preparing it must be refused: its key's newest version is an intent or lies after the read time.
+
+    The newest version is the one that select_as_of chooses, found by grouping instead of sorting.
+    """
+    first = versions.select("k", "ts", "kind").repartition("k", "ts").groupBy("k", "ts").agg(F.min("kind").alias("kind")).where(f"kind != {ABORT}")
+    newest = first.groupBy("k").agg(F.max_by("kind", "ts").alias("_kind"), F.max("ts").alias("_ts"))
     joined = writes.join(newest, "k", "left")
     refused = (F.col("_kind") == INTENT) | (F.col("_ts") > F.col("read_ts"))
-    return joined.select("txn_id", "k", F.coalesce(refused, F.lit(False)).alias("refused"))
+    return joined.withColumn("refused", F.coalesce(refused, F.lit(False))).drop("_kind", "_ts")
 
 
 def decisions(prepared: DataFrame) -> DataFrame:
@@ -71,11 +75,10 @@ def decisions(prepared: DataFrame) -> DataFrame:
     return prepared.groupBy("txn_id").agg(F.when(F.bool_and("prepared"), COMMITTED).otherwise(ABORTED).alias("status"))
 
 
-def resolve(writes: DataFrame, decided: DataFrame) -> DataFrame:
-    """Versions that settle the intents of writes(txn_id, range_id, k, value, is_delete, prepared): nothing for refused participants."""
-    joined = writes.where("prepared").join(decided, "txn_id")
+def resolve(writes: DataFrame) -> DataFrame:
+    """Versions that settle the intents of writes(txn_id, k, value, is_delete, prepared, status, commit_ts): nothing for refused participants."""
     kind = F.when(F.col("status") == ABORTED, ABORT).when(F.col("is_delete"), DELETE).otherwise(VALUE)
-    return joined.select("k", F.col("commit_ts").alias("ts"), kind.alias("kind"), F.when(kind == VALUE, F.col("value")).alias("value"), "txn_id")
+    return writes.where("prepared").select("k", F.col("commit_ts").alias("ts"), kind.alias("kind"), F.when(kind == VALUE, F.col("value")).alias("value"), "txn_id")
 
 
 class TooLarge(RuntimeError):

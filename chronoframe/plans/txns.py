@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoframe.operators import catalog as C
@@ -29,11 +30,14 @@ def _routed(f):
 
 
 def _prepared(f):
-    """Writes with their range and whether its participant is prepared."""
-    refused = X.conflicts(f.versions(), _routed(f)).select("txn_id", "k", "refused")
-    rows = _routed(f).join(refused, ["txn_id", "k"])
-    parts = rows.groupBy("txn_id", "range_id").agg((~F.bool_or("refused")).alias("prepared"))
-    return rows.join(parts, ["txn_id", "range_id"])
+    """Writes with their range, whether its participant is prepared, and their transaction's status.
+
+    What is written meets the versions by key first and then its transaction, so that it is dealt twice in all.
+    """
+    rows = C.route(X.buffered(X.conflicts(f.versions(), f.txn_writes()), "read_ts", "refused"), f.catalog())
+    part, txn = Window.partitionBy("txn_id", "range_id"), Window.partitionBy("txn_id")
+    rows = rows.withColumn("prepared", ~F.bool_or("refused").over(part))
+    return rows.withColumn("status", F.when(F.bool_and("prepared").over(txn), X.COMMITTED).otherwise(X.ABORTED))
 
 
 _PARTS = _ROUTED + _NEWEST + _CONFLICT + ", parts AS (SELECT txn_id, range_id, NOT bool_or(refused) AS prepared FROM conflicts GROUP BY ALL), decided AS (SELECT txn_id, CASE WHEN bool_and(prepared) THEN 2 ELSE 3 END AS status FROM parts GROUP BY txn_id)"
@@ -91,7 +95,7 @@ def t6(f):
 
 @query("t7_prepare_conflicts", _ROUTED + _NEWEST + _CONFLICT + "SELECT txn_id, k, refused FROM conflicts")
 def t7(f):
-    return X.conflicts(f.versions(), _routed(f))
+    return X.conflicts(f.versions(), _routed(f)).select("txn_id", "k", "refused")
 
 
 @query("t8_prepare_intents", _PARTS + "SELECT c.txn_id, k, read_ts + 1 AS ts, 3 AS kind, value, is_delete FROM conflicts c JOIN parts USING (txn_id, range_id) WHERE prepared")
@@ -101,16 +105,13 @@ def t8(f):
 
 @query("t9_decisions", _PARTS + "SELECT txn_id, status FROM decided")
 def t9(f):
-    return X.decisions(_prepared(f).select("txn_id", "range_id", "prepared").distinct())
+    return X.decisions(_prepared(f))
 
 
 @query("t10_resolution", _PARTS + """SELECT k, read_ts + 1 AS ts, CASE WHEN status = 3 THEN 2 WHEN is_delete THEN 0 ELSE 1 END AS kind, CASE WHEN status = 2 AND NOT is_delete THEN value END AS value, c.txn_id
 FROM conflicts c JOIN parts p USING (txn_id, range_id) JOIN decided d ON d.txn_id = c.txn_id WHERE prepared""")
 def t10(f):
-    rows = _prepared(f)
-    decided = X.decisions(rows.select("txn_id", "range_id", "prepared").distinct())
-    commit = rows.groupBy("txn_id").agg((F.max("read_ts") + 1).alias("commit_ts"))
-    return X.resolve(rows, decided.join(commit, "txn_id"))
+    return X.resolve(_prepared(f).withColumn("commit_ts", F.col("read_ts") + 1))
 
 
 @query("t11_commit_timestamp", _ROUTED + ", floors AS (SELECT range_id, max(ts) AS floor FROM (SELECT v.ts, c.range_id FROM versions v JOIN catalog c ON (start_key IS NULL OR v.k >= start_key) AND (end_key IS NULL OR v.k < end_key)) GROUP BY range_id) SELECT txn_id, greatest(max(read_ts), max(floor)) + 1 AS commit_ts FROM routed JOIN floors USING (range_id) GROUP BY txn_id")

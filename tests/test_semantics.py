@@ -200,6 +200,13 @@ def test_route_pins_are_dealt_by_transaction_alone(spark):
     assert not shuffles(C.stale(routes, cat)) and sorted(map(tuple, C.stale(routes, cat).collect())) == [(2, 2), (3, 1)]
 
 
+def test_resolution_deals_writes_by_key_and_by_transaction_alone(spark):
+    from chronoframe.plans import registry
+
+    by = shuffles(registry.queries()["t10_resolution"](spark, "/root/testdata/sf0.001"))
+    assert by.count("txn_id") == 1 and len(by) <= 4  # writes by key and transaction, versions by key and time and by key
+
+
 def test_checksums_and_key_hashes(spark):
     from chronoframe.functions import scalars as S
 
