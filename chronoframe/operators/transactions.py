@@ -47,7 +47,8 @@ def buffered(writes: DataFrame, *also: str) -> DataFrame:
     groups by transaction stays where it is.
     """
     last = [F.max_by(c, "seq").alias(c) for c in ("value", "is_delete")]
-    return writes.repartition("txn_id").groupBy("txn_id", "k", *also).agg(*last).select("txn_id", "k", "value", "is_delete", *also)
+    width = int(writes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that tasks are not put together
+    return writes.repartition(width, "txn_id").groupBy("txn_id", "k", *also).agg(*last).select("txn_id", "k", "value", "is_delete", *also)
 
 
 def overlay(base: DataFrame, writes: DataFrame, start=None, end=None) -> DataFrame:
